@@ -1,0 +1,25 @@
+"""Join with a side that is expected to be small."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LOOKUP_ROWS = 100_000
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
+                max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Join ``big`` with the result of an aggregation that is nearly always tiny.
+
+    Catalyst cannot know the size of such a result before it ran, and would shuffle ``big``
+    for it. So its rows are fetched first, at most ``max_rows`` + 1 of them: within the bound
+    they are broadcast; past it the join is an ordinary shuffle join, which AQE splits on skew.
+    """
+    head = small.limit(max_rows + 1).collect()
+    if len(head) <= max_rows:
+        local = small.sparkSession.createDataFrame(head, small.schema)
+        return big.join(F.broadcast(local), list(on), how)
+    return big.join(small, list(on), how)
