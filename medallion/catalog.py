@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import demos
 from .plans import analyses
 from .sources.medical import MedicalTables
 
@@ -44,6 +45,9 @@ _analysis("code_distribution", analyses.code_distribution, itemid=ITEM)
 _analysis("events_for_subject", analyses.events_for_subject, subject_id=SUBJECT)
 _analysis("latest_admission_per_subject", analyses.latest_admission_per_subject)
 
+for _demo in demos.ALL:
+    QUERIES[_demo.__name__] = _demo
+
 # The medical tables in SQL; every oracle below starts with them.
 VIEWS = """
 WITH d_patients AS (
@@ -180,3 +184,99 @@ GROUP BY icd9.code ORDER BY ratio DESC, icd9.code LIMIT 10""")
 
 _oracle("events_for_subject", f"""
 SELECT * FROM chartevents WHERE subject_id = {SUBJECT}""")
+
+_oracle("upsert_batch", """
+SELECT subject_id, seen, source
+FROM (SELECT subject_id, seen, source, row_number() OVER (
+        PARTITION BY subject_id ORDER BY batch DESC, seen DESC) AS rn
+      FROM (SELECT subject_id, charttime AS seen, 'chart' AS source, 1 AS batch FROM chartevents
+            UNION ALL
+            SELECT subject_id, admit_dt, 'admission', 2 FROM admissions))
+WHERE rn = 1""")
+
+_oracle("saved_query_gold", """
+SELECT drgevents.itemid, type, year(admit_dt) AS year, count(*) AS num, sum(cost_weight) AS weight
+FROM drgevents JOIN d_codeditems ON drgevents.itemid = d_codeditems.itemid
+JOIN admissions ON admissions.hadm_id = drgevents.hadm_id
+GROUP BY 1, 2, 3""")
+
+_oracle("adhoc_sql", """
+SELECT d_patients.subject_id AS subject_id, sex, count(*) AS num, max(admit_dt) AS last_admit_dt
+FROM admissions JOIN d_patients ON admissions.subject_id = d_patients.subject_id
+WHERE admit_dt >= TIMESTAMP '1998-01-01'
+GROUP BY 1, 2""")
+
+_oracle("result_cache_roundtrip", """
+SELECT '{"subject_id":' || subject_id
+       || CASE WHEN sex IS NULL THEN '' ELSE ',"sex":"' || sex || '"' END
+       || ',"hospital_expire_flg":"' || hospital_expire_flg || '"}' AS "row"
+FROM d_patients""")
+
+_oracle("cached_rows_by_month", f"""
+SELECT itemid, description, month, num AS "numCases" FROM ({BY_MONTH})
+WHERE "ROW_NUMBER" < 21 AND month IN ({", ".join(map(str, demos.MONTHS))})""")
+
+_oracle("refresh_subset", f"""
+SELECT 'admission_state_mortality' AS key, CAST(2 AS BIGINT) AS documents
+UNION ALL SELECT 'hospital_death_ratio', count(*) FROM (SELECT count(*) FROM d_patients)
+UNION ALL SELECT 'admissions_deaths_by_year', count(DISTINCT year(admit_dt)) FROM admissions
+WHERE year(admit_dt) BETWEEN {FIRST_YEAR} AND {LAST_YEAR}""")
+
+ORACLE_SQL["describe_table"] = f"""
+SELECT column_name AS col_name,
+       CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS data_type,
+       CAST(NULL AS VARCHAR) AS comment
+FROM (DESCRIBE {VIEWS} SELECT * FROM d_patients)"""
+
+_oracle("decode_payload", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+
+EVENTS = "SELECT event_id, ts, user_id, event_type, value FROM events"
+_oracle("ingest_csv_bronze", EVENTS)
+_oracle("stream_append_silver", EVENTS)
+_oracle("stream_merge_silver", f"""
+SELECT event_id, ts, user_id, event_type, value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+                                   ORDER BY arrival DESC, ts DESC, event_id DESC) AS rn
+      FROM (SELECT *, (event_id - (SELECT min(event_id) FROM events)) * {demos.ARRIVALS}
+                // (SELECT max(event_id) - min(event_id) + 1 FROM events) AS arrival
+            FROM ({EVENTS})))
+WHERE rn = 1""")
+
+HASH = "('0x' || substr(md5(CAST({} AS VARCHAR) || '42'), 1, 15))::BIGINT"
+PURCHASES = """
+SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS purchase FROM events"""
+
+_oracle("stratified_split", f"""
+SELECT vec_id, label,
+       CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {HASH.format("vec_id")}, vec_id)
+                 <= floor(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label) + 0.5)
+            THEN 'test' ELSE 'train' END AS part
+FROM embeddings""")
+
+# The smaller class of the events is the one with label 1.
+_oracle("random_undersample", f"""
+SELECT event_id, purchase
+FROM (SELECT *, row_number() OVER (PARTITION BY purchase
+                                   ORDER BY {HASH.format("event_id")}, event_id) AS rn,
+             count(*) FILTER (purchase = 1) OVER () AS n_minor
+      FROM ({PURCHASES}))
+WHERE purchase = 1 OR rn <= floor(n_minor / CAST(0.6 AS DOUBLE))""")
+
+_oracle("random_oversample", f"""
+SELECT event_id, purchase FROM ({PURCHASES})
+UNION ALL
+SELECT m.event_id, m.purchase
+FROM (SELECT *, row_number() OVER (ORDER BY {HASH.format("event_id")}, event_id) - 1 AS place
+      FROM ({PURCHASES}) WHERE purchase = 1) m
+JOIN (SELECT {HASH.format("i")} % n_minor AS place
+      FROM (SELECT unnest(range(CAST(floor(CAST(0.4 AS DOUBLE) * n_major) AS BIGINT) - n_minor)) AS i,
+                   n_minor
+            FROM (SELECT count(*) FILTER (purchase = 1) AS n_minor,
+                         count(*) FILTER (purchase = 0) AS n_major FROM ({PURCHASES})))) d
+  ON d.place = m.place""")
+
+_oracle("score_threshold", """
+SELECT event_id AS encounter_id,
+       CASE WHEN value / (value + 100) >= 0.28 THEN 1 ELSE 0 END AS diabetes_mellitus
+FROM events""")

@@ -43,10 +43,10 @@ def with_array_features(df: DataFrame, column: str, keep: Sequence[str]) -> Data
 def rebalance_classes(train: DataFrame, identity: str, label: str, seed: str = "42") -> DataFrame:
     """Oversample the minority, then undersample the majority. Only ever for training rows:
     resampling ahead of the split would put copies of test rows into training."""
-    train = train.withColumn("_copy", F.lit(0).cast("bigint"))
     more = oversample(train, identity, label, OVER, seed)
-    # Draws repeat identities; only majority rows are cut, and those are still unique.
-    return undersample(more, identity, label, UNDER, seed).drop("_copy")
+    # The draws repeat identities of the minority; the majority, which is cut by its hash,
+    # still holds each of its own once.
+    return undersample(more, identity, label, UNDER, seed)
 
 
 def train(rows: DataFrame, label: str, hidden: int = HIDDEN, rounds: int = ROUNDS,

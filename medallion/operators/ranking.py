@@ -16,6 +16,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     at most one row per key, so a key holding a third of the rows is no hot spot.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
+    if not order and not rest:
+        return df.distinct()
     newest = F.max(F.struct(*[F.col(f"`{c}`") for c in [*order, *rest]])).alias("_newest")
     rows = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(newest)
     return rows.select(*[

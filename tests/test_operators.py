@@ -1,0 +1,164 @@
+from datetime import datetime, timedelta
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from medallion.functions import (
+    band,
+    hash_key,
+    label_nulls,
+    ratio,
+    row_as_json,
+    whole_days,
+    within_years,
+)
+from medallion.operators import (
+    conditional_distribution,
+    keep_newest,
+    latest_per_key,
+    lookup_join,
+    top_k,
+    top_n_per_group,
+    upsert,
+)
+from medallion.operators.upsert import DuplicateKeyError
+from medallion.plans.analyses import LAST_PERIOD, LIFE_PERIODS
+
+
+def test_band_borders_and_null(spark):
+    ages = [(0.0,), (1.99,), (2.0,), (6.0,), (12.0,), (20.0,), (40.0,), (59.9,), (60.0,), (None,)]
+    df = spark.createDataFrame(ages, "age double")
+    labels = [r[0] for r in df.select(band(F.col("age"), LIFE_PERIODS, LAST_PERIOD)).collect()]
+    assert labels == [
+        "Infancy", "Infancy", "Early Childhood", "Later Childhood", "Adolescence", "Young adult",
+        "Middle-aged", "Middle-aged", "Senior Citizen", "Senior Citizen"]
+
+
+def test_whole_days_cut_towards_zero(spark):
+    t = datetime(2020, 1, 1)
+    pairs = [(t, t + timedelta(days=364, hours=18)), (t, t - timedelta(days=1, hours=12)),
+             (t, None)]
+    df = spark.createDataFrame(pairs, "a timestamp, b timestamp")
+    assert [r[0] for r in df.select(whole_days(F.col("a"), F.col("b"))).collect()] == [364, -1, None]
+
+
+def test_label_nulls_joins_the_literal_label(spark):
+    df = spark.createDataFrame([(None,), ("N/A",), ("F",)], "sex string")
+    counts = df.groupBy(label_nulls(F.col("sex")).alias("sex")).count()
+    assert rows(counts) == [("F", 1), ("N/A", 2)]
+
+
+def test_ratio_of_nothing_is_null(spark):
+    df = spark.createDataFrame([(0, 0), (1, 4)], "a int, b int")
+    assert [r[0] for r in df.select(ratio(F.col("a"), F.col("b"))).collect()] == [None, 0.25]
+
+
+def test_within_years_takes_whole_last_year(spark):
+    stamps = [(datetime(1995, 12, 31, 23, 59, 59),), (datetime(1996, 1, 1),),
+              (datetime(2000, 12, 31, 23, 59, 59),), (datetime(2001, 1, 1),)]
+    df = spark.createDataFrame(stamps, "t timestamp")
+    assert df.filter(within_years(F.col("t"), 1996, 2000)).count() == 2
+
+
+def test_within_years_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(datetime(1999, 1, 1),)], "t timestamp").write.parquet(path)
+    plan = spark.read.parquet(path).filter(within_years(F.col("t"), 1996, 2000))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(t,1996-01-01" in text and "LessThan(t,2001-01-01" in text
+
+
+def test_json_leaves_nulls_out(spark):
+    df = spark.createDataFrame([(1, None)], "a int, b string")
+    assert df.select(row_as_json(df.columns)).first()[0] == '{"a":1}'
+
+
+def test_hash_key_is_fixed(spark):
+    df = spark.createDataFrame([(5,)], "id bigint")
+    assert df.select(hash_key(F.col("id"), "s")).first()[0] == 1090055943201545302
+
+
+def test_latest_per_key_is_total(spark):
+    data = [(1, 5, "a"), (1, 5, "b"), (1, 4, "z"), (2, None, "x"), (None, 1, "n"), (None, 2, "m")]
+    df = spark.createDataFrame(data, "k int, o int, v string")
+    for shuffled in (df, df.orderBy(F.desc("v"))):
+        assert rows(latest_per_key(shuffled, ["k"], ["o"])) == [
+            (None, 2, "m"), (1, 5, "b"), (2, None, "x")]
+
+
+def test_latest_per_key_aggregates_ahead_of_the_shuffle(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
+    plan = latest_per_key(df, ["k"], ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan and "Window" not in plan
+    assert rows(latest_per_key(df, ["k"], ["o"])) == [(0, 99), (1, 97), (2, 98)]
+
+
+def test_top_n_per_group_with_ties(spark):
+    data = [(m, i, 7 if i < 4 else i) for m in (1, 2) for i in range(8)]
+    df = spark.createDataFrame(data, "m int, i int, n int")
+    top = top_n_per_group(df, ["m"], [F.desc("n"), F.asc("i")], 3)
+    assert rows(top.select("m", "ROW_NUMBER", "i")) == [
+        (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k(spark):
+    df = spark.range(50)
+    assert [r.id for r in top_k(df, [F.desc("id")], 3).collect()] == [49, 48, 47]
+
+
+def test_conditional_distribution_counts_all_pairs(spark):
+    coded = spark.createDataFrame(
+        [(1, "a"), (1, "a"), (1, "b"), (2, "b"), (3, "c"), (None, "z")], "h int, code string")
+    matches = spark.createDataFrame([(1,), (1,), (2,), (None,)], "h int")
+    result = conditional_distribution(coded, matches, "h", "code")
+    assert rows(result) == [("a", 4, 4 / 7), ("b", 3, 3 / 7)]
+
+
+def test_lookup_join_within_and_past_the_bound(spark):
+    big = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    near = lookup_join(big, small, ["k"], "left")
+    far = lookup_join(big, small, ["k"], "left", max_rows=2)
+    assert "ResolvedHint" in near._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in far._jdf.queryExecution().analyzed().toString()
+    assert rows(near) == rows(far) and near.count() == 100
+
+
+SCHEMA = "k int, seq int, v string"
+
+
+def test_upsert_replaces_inserts_and_keeps(spark):
+    target = spark.createDataFrame([(1, 0, "old"), (2, 0, "stay"), (None, 0, "null")], SCHEMA)
+    source = spark.createDataFrame([(1, 1, "new"), (3, 1, "add"), (None, 1, "null2")], SCHEMA)
+    result = upsert(target, keep_newest(source, ["k"]), ["k"])
+    assert rows(result) == [
+        (None, 0, "null"), (None, 1, "null2"), (1, 1, "new"), (2, 0, "stay"), (3, 1, "add")]
+    assert rows(upsert(result.filter("k is not null"), source.filter("k is not null"), ["k"])) == [
+        (1, 1, "new"), (2, 0, "stay"), (3, 1, "add")]
+
+
+def test_upsert_of_nothing_and_into_nothing(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    some = spark.createDataFrame([(1, 0, "a")], SCHEMA)
+    assert rows(upsert(some, keep_newest(empty, ["k"]), ["k"])) == [(1, 0, "a")]
+    assert rows(upsert(empty, keep_newest(some, ["k"]), ["k"])) == [(1, 0, "a")]
+
+
+def test_upsert_of_composite_keys_with_a_partial_null(spark):
+    target = spark.createDataFrame([(1, None, "t"), (1, 1, "t")], SCHEMA)
+    source = spark.createDataFrame([(1, None, "s"), (1, 1, "s")], SCHEMA)
+    assert rows(upsert(target, keep_newest(source, ["k", "seq"]), ["k", "seq"])) == [
+        (1, None, "s"), (1, None, "t"), (1, 1, "s")]
+
+
+def test_duplicate_keys_in_a_batch(spark):
+    batch = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (None, 1, "n"), (None, 1, "n")], SCHEMA)
+    assert rows(keep_newest(batch, ["k"], ["seq"])) == [(None, 1, "n"), (None, 1, "n"), (1, 2, "b")]
+    with pytest.raises(DuplicateKeyError):
+        keep_newest(batch, ["k"], ["seq"], "error")
+    only_nulls = batch.filter("k is null")
+    assert keep_newest(only_nulls, ["k"], [], "error").count() == 2
+    with pytest.raises(ValueError):
+        keep_newest(batch, ["k"], [], "first")
