@@ -71,6 +71,8 @@ class StreamSpec:
         names = [c.name for c in self.columns]
         if len(set(names)) != len(names):
             raise ValueError(f"{self.table}: a column is declared twice")
+        if any(n.startswith("_") or n == ARRIVAL for n in names):
+            raise ValueError(f"{self.table}: {ARRIVAL} and names with a leading _ are reserved")
         if self.method not in (APPEND, MERGE):
             raise ValueError(f"{self.table}: method must be {APPEND} or {MERGE}")
         if self.method == MERGE and not self.merge_keys:

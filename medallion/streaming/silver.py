@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upsert import any_null, keep_newest, upsert
 from ..spec import MERGE, Layout, StreamSpec
-from ..versions import Commit, VersionedTable
+from ..versions import Commit, VersionedTable, version_folder
 from .bronze import ensure_tables
 
 BUCKET = "_bucket"
@@ -54,7 +54,7 @@ def merge_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
                 .write.mode("overwrite").partitionBy(BUCKET, *spec.partition_by)
                 .parquet(table.folder(version))
             )
-            parts.update({str(b): f"v={version:012d}/{BUCKET}={b}" for b in touched})
+            parts.update({str(b): f"{version_folder(version)}/{BUCKET}={b}" for b in touched})
         table.commit(Commit(version, parts, {**state.applied, stream: number}, spec.buckets))
     finally:
         rows.unpersist()

@@ -1,6 +1,6 @@
 """A table that is replaced in part or whole while others read it.
 
-Its rows lie in parquet folders that are never changed, ``v=<number>/...``. A small JSON file
+Its rows lie in parquet folders that are never changed, ``_version=<number>/...``. A small JSON file
 per commit, ``_commits/<number>.json``, names the folders that make up the table. Readers take
 the newest commit, so they see the state before or after a change, never between, and a writer
 that dies leaves only folders no commit names. One writer at a time.
@@ -18,6 +18,13 @@ from pyspark.sql import types as T
 from .files import Files
 
 
+VERSION = "_version"
+
+
+def version_folder(number: int) -> str:
+    return f"{VERSION}={number:012d}"
+
+
 @dataclass(frozen=True)
 class Commit:
     number: int
@@ -53,7 +60,7 @@ class VersionedTable:
         self.files.create_whole(f"{self._commits}/{commit.number:012d}.json", text)
 
     def folder(self, number: int) -> str:
-        return f"{self.path}/v={number:012d}"
+        return f"{self.path}/{version_folder(number)}"
 
     def read(self, schema: T.StructType | None = None,
              parts: Iterable[str] | None = None) -> DataFrame:
@@ -67,7 +74,7 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.option("basePath", self.path)
         if schema is None:
-            return reader.parquet(*folders).drop("v")
+            return reader.parquet(*folders).drop(VERSION)
         return reader.schema(schema).parquet(*folders).select(*schema.names)
 
     def replace(self, df: DataFrame) -> str:
@@ -75,7 +82,7 @@ class VersionedTable:
         last = self.current()
         number = last.number + 1
         df.write.mode("overwrite").parquet(self.folder(number))
-        self.commit(Commit(number, {"all": f"v={number:012d}"}))
+        self.commit(Commit(number, {"all": version_folder(number)}))
         return self.folder(number)
 
     def vacuum(self, keep: int = 2) -> list[str]:

@@ -1,0 +1,57 @@
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from medallion.operators import classifier
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Class 1 (one row in eight) lies apart in two of five features."""
+    y = (F.col("id") % 8 == 0).cast("int")
+    noise = [(F.rand(i) - 0.5).alias(f"f{i}") for i in range(3)]
+    return spark.range(800).select(
+        F.col("id").alias("encounter_id"), *noise,
+        (y * 2 + F.rand(7)).alias("f3"), (F.rand(8) - y * 2).alias("f4"),
+        y.alias("diabetes_mellitus"))
+
+
+def test_features_are_what_is_neither_id_nor_label(labelled):
+    names = classifier.feature_columns(labelled.columns, "encounter_id", "diabetes_mellitus")
+    assert names == ["f0", "f1", "f2", "f3", "f4"]
+    assert classifier.feature_columns(["a", "b"], "a") == ["b"]
+
+
+def test_train_save_load_score(spark, labelled, tmp_path):
+    from medallion.operators import split_by_class
+
+    names = classifier.feature_columns(labelled.columns, "encounter_id", "diabetes_mellitus")
+    table = classifier.with_features(labelled, names, ["encounter_id", "diabetes_mellitus"])
+    parts = split_by_class(table, "encounter_id", "diabetes_mellitus").cache()
+    training = classifier.rebalance_classes(
+        parts.filter("part = 'train'").drop("part"), "encounter_id", "diabetes_mellitus")
+    sizes = dict(rows(training.groupBy("diabetes_mellitus").count()))
+    # 80 + draws up to 0.4 * 560 = 224 minority rows, then floor(224 / 0.6) others.
+    assert sizes == {1: 224, 0: 373}
+    model = classifier.train(training, "diabetes_mellitus", hidden=8)
+    test = parts.filter("part = 'test'").drop("part")
+    scored = classifier.score(model, test)
+    result = classifier.evaluate(scored, "diabetes_mellitus").first()
+    assert result.n_rows == 160 and result.accuracy > 0.95 and result.area_under_pr > 0.95
+
+    classifier.save(model, str(tmp_path / "model"))
+    again = classifier.score(classifier.load(str(tmp_path / "model")), test)
+    assert rows(again.select("encounter_id", "score")) == rows(scored.select("encounter_id", "score"))
+    decided = classifier.decide(scored, "encounter_id", "diabetes_mellitus")
+    assert decided.columns == ["encounter_id", "diabetes_mellitus"] and decided.count() == 160
+
+
+def test_threshold_is_inclusive(spark):
+    df = spark.createDataFrame([(1, 0.28), (2, 0.2799), (3, 1.0), (4, None)], "id int, score double")
+    assert rows(classifier.decide(df, "id", "y")) == [(1, 1), (2, 0), (3, 1), (4, 0)]
+    assert rows(classifier.decide(df, "id", "y", threshold=0.5)) == [(1, 0), (2, 0), (3, 1), (4, 0)]
+
+
+def test_array_features(spark):
+    df = spark.createDataFrame([(1, [0.5, 2.0])], "id int, v array<float>")
+    assert list(classifier.with_array_features(df, "v", ["id"]).first().features) == [0.5, 2.0]

@@ -1,0 +1,87 @@
+"""Samplers against a plain sort, and their sizes."""
+
+import hashlib
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from medallion.operators import oversample, split_by_class, undersample
+
+
+def _hash(identity, seed="42"):
+    return int(hashlib.md5(f"{identity}{seed}".encode()).hexdigest()[:15], 16)
+
+
+def _frame(spark, n, positives, parts=3):
+    return spark.range(n).repartition(parts).select(
+        "id", F.when(F.col("id") < positives, 1).otherwise(0).alias("y"))
+
+
+def _lowest(ids, n):
+    return set(sorted(ids, key=lambda i: (_hash(i), i))[:n])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(n=st.integers(2, 400), share=st.sampled_from([0.0, 0.2, 0.5, 1.0]), seed=st.text("ab", max_size=2))
+def test_split_takes_the_lowest_hashes_of_each_class(spark, n, share, seed):
+    positives = n // 3
+    parts = split_by_class(_frame(spark, n, positives), "id", "y", share, seed).collect()
+    assert sorted(r.id for r in parts) == list(range(n))
+    for ids in (range(positives), range(positives, n)):
+        wanted = sorted(ids, key=lambda i: (_hash(i, seed), i))[:int(share * len(ids) + 0.5)]
+        assert {r.id for r in parts if r.part == "test" and r.id in ids} == set(wanted)
+
+
+def test_split_ignores_the_layout_and_keeps_null_labels(spark):
+    df = _frame(spark, 500, 100).withColumn("y", F.when(F.col("id") % 50 != 0, F.col("y")))
+    one = {tuple(r) for r in split_by_class(df.coalesce(1), "id", "y").collect()}
+    assert one == {tuple(r) for r in split_by_class(df.repartition(7), "id", "y").collect()}
+    assert len(one) == 500 and sum(r[1] is None for r in one) == 10
+
+
+def test_undersample_is_exact(spark):
+    result = undersample(_frame(spark, 1000, 100), "id", "y").collect()
+    assert {r.id for r in result if r.y == 1} == set(range(100))
+    assert {r.id for r in result if r.y == 0} == _lowest(range(100, 1000), 166)
+    assert len(result) == 266
+
+
+def test_oversample_is_exact(spark):
+    result = Counter(r.id for r in oversample(_frame(spark, 1000, 100), "id", "y").collect())
+    order = sorted(range(100), key=lambda i: (_hash(i), i))
+    expected = Counter(range(1000))
+    expected.update(order[_hash(i) % 100] for i in range(360 - 100))
+    assert result == expected
+
+
+def test_ratios_at_the_target_already(spark):
+    even = _frame(spark, 100, 50)
+    for sampler in (oversample, undersample):
+        with pytest.raises(ValueError):
+            sampler(even, "id", "y")
+    exact = _frame(spark, 140, 40)  # 0.4 on the dot
+    assert oversample(exact, "id", "y").count() == 140
+
+
+def test_other_than_two_classes(spark):
+    df = spark.range(9).select("id", (F.col("id") % 3).alias("y"))
+    for bad in (df, df.filter("y = 1"), df.withColumn("y", F.when(F.col("y") > 0, F.col("y")))):
+        with pytest.raises(ValueError):
+            undersample(bad, "id", "y")
+
+
+def test_string_identities_and_labels(spark):
+    df = _frame(spark, 300, 30).select(
+        F.concat(F.lit("r"), F.col("id")).alias("id"),
+        F.when(F.col("y") == 1, "yes").otherwise("no").alias("y"))
+    result = undersample(df, "id", "y").collect()
+    assert Counter(r.y for r in result) == {"yes": 30, "no": 50}
+    assert {r.id for r in result if r.y == "no"} == _lowest([f"r{i}" for i in range(30, 300)], 50)
+
+
+def test_no_window_runs_over_the_whole_table(spark):
+    plan = undersample(_frame(spark, 1000, 100), "id", "y")._jdf.queryExecution().executedPlan()
+    assert "Window" not in plan.toString() and "Exchange hashpartitioning" not in plan.toString()
