@@ -55,13 +55,16 @@ def train(rows: DataFrame, label: str, hidden: int = HIDDEN, rounds: int = ROUND
 
     Gradients are summed over the partitions in a tree; the driver holds the weights only.
     """
+    rows = rows.select("features", F.col(label).cast("double").alias("_label")).persist()
     width = rows.select("features").head()[0].size
-    rows = rows.withColumn("_label", F.col(label).cast("double"))
     scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True)
     network = MultilayerPerceptronClassifier(
         featuresCol="_scaled", labelCol="_label", layers=[width, hidden, 2],
         maxIter=rounds, seed=seed)
-    return Pipeline(stages=[scaler, network]).fit(rows)
+    try:
+        return Pipeline(stages=[scaler, network]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
@@ -31,15 +32,20 @@ class SilverTables:
         return list(self.specs)
 
 
-def register_views(spark: SparkSession, tables) -> None:
-    """Make every table known to SQL under its bare name. Nothing is read."""
+def register_views(spark: SparkSession, tables, sql: str) -> None:
+    """Make the tables that ``sql`` may name known under their bare names.
+
+    The others are left alone: finding the files of a large table takes time too.
+    """
+    words = {word.lower() for word in re.findall(r"\w+", sql)}
     for name in tables.names():
-        tables(name).createOrReplaceTempView(name)
+        if name.lower() in words:
+            tables(name).createOrReplaceTempView(name)
 
 
 def run_sql(spark: SparkSession, tables, sql: str, args: Mapping | None = None) -> DataFrame:
     """A user's SQL over the tables of a project; values go into ``args``, not into the text."""
-    register_views(spark, tables)
+    register_views(spark, tables, sql)
     return spark.sql(sql, args=dict(args) if args else None)
 
 

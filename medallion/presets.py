@@ -70,8 +70,9 @@ APPEND_TABLES = {
 }
 # End of the fixed values.
 
-# Directories per value pay off only for few values; a directory per subject would mean
-# millions of tiny files, so only the type of the coded items is laid out that way.
+# Folders per value pay off only for few values; a folder per subject would mean millions of
+# tiny files. So only the type of the coded items has folders, and the event tables, which are
+# looked up by subject, are clustered by it.
 PARTITIONS = {"d_codeditems": ("type",)}
 
 
@@ -84,7 +85,8 @@ def hospital_streams(source_root: str) -> list[StreamSpec]:
         for name, (keys, text) in MERGE_TABLES.items()
     ]
     appends = [
-        StreamSpec(name, columns(text), APPEND, source_path=f"{root}/{name}")
+        StreamSpec(name, columns(text), APPEND, cluster_by=("subject_id",),
+                   source_path=f"{root}/{name}")
         for name, text in APPEND_TABLES.items()
     ]
     return merges + appends

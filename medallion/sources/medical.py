@@ -6,8 +6,7 @@ Each table is a projection of one file; only ``subject_id`` of the two tables th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Read with a declared schema: no inference job, and timestamps arrive as `timestamp`, so that
 # ranges on them reach the parquet scan (a cast in a view would keep them out).
@@ -28,71 +27,53 @@ def read_file(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _days(n: Column) -> Column:
-    return F.make_dt_interval(n.cast("int"))
-
-
-def _d_patients() -> dict[str, Column]:
-    key = F.col("c_custkey")
-    died = F.lit("1995-01-01").cast("timestamp") + _days(key * 131 % 2400)
-    return {
-        "subject_id": key,
-        "sex": F.when(key % 10 == 0, F.lit(None)).when(key % 2 == 0, "F").otherwise("M"),
-        "dob": died - _days(key * 7919 % 36500),
-        "dod": F.when(key % 4 == 0, F.lit(None)).otherwise(died),
-        "hospital_expire_flg": F.when(key % 3 == 0, "Y").otherwise("N"),
-    }
-
-
-def _admissions() -> dict[str, Column]:
-    admitted = F.col("o_orderdate")
-    return {
-        "hadm_id": F.col("o_orderkey"),
-        "subject_id": F.col("o_custkey"),
-        "admit_dt": admitted,
-        "disch_dt": admitted + _days(F.col("o_orderkey") % 31) + F.expr("interval '6' hour"),
-    }
-
-
-def _demographic_detail() -> dict[str, Column]:
-    priority = F.col("o_orderpriority")
-    return {
-        "subject_id": F.col("o_custkey"),
-        "hadm_id": F.col("o_orderkey"),
-        "admission_type_descr": F.when(priority == "1-URGENT", "URGENT")
-        .when(priority == "2-HIGH", "EMERGENCY").otherwise("ELECTIVE"),
-    }
-
-
-def _d_codeditems() -> dict[str, Column]:
-    return {"itemid": F.col("p_partkey"), "code": F.col("p_brand"),
-            "type": F.col("p_type"), "description": F.col("p_name")}
-
-
-def _drgevents() -> dict[str, Column]:
-    return {"subject_id": F.col("o_custkey"), "hadm_id": F.col("l_orderkey"),
-            "itemid": F.col("l_partkey"), "cost_weight": F.col("l_quantity")}
-
-
-def _icd9() -> dict[str, Column]:
-    return {"subject_id": F.col("o_custkey"), "hadm_id": F.col("l_orderkey"),
-            "sequence": F.col("l_linenumber"),
-            "code": F.concat(F.lit("C"), (F.col("l_suppkey") % 20).cast("string"))}
-
-
-def _chartevents() -> dict[str, Column]:
-    return {"subject_id": F.col("user_id"), "itemid": F.col("event_id") % 50,
-            "charttime": F.col("ts"), "value1": F.col("event_type"), "value1num": F.col("value")}
-
-
-TABLES = {
-    "d_patients": ("customer", _d_patients),
-    "admissions": ("orders", _admissions),
-    "drgevents": ("lineitem", _drgevents),
-    "d_codeditems": ("part", _d_codeditems),
-    "demographic_detail": ("orders", _demographic_detail),
-    "icd9": ("lineitem", _icd9),
-    "chartevents": ("events", _chartevents),
+TABLES: dict[str, tuple[str, dict[str, str]]] = {
+    "d_patients": ("customer", {
+        "subject_id": "c_custkey",
+        "sex": "CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END",
+        "dob": "timestamp '1995-01-01' + make_dt_interval(cast(c_custkey * 131 % 2400 AS int))"
+               " - make_dt_interval(cast(c_custkey * 7919 % 36500 AS int))",
+        "dod": "CASE WHEN c_custkey % 4 != 0 THEN timestamp '1995-01-01'"
+               " + make_dt_interval(cast(c_custkey * 131 % 2400 AS int)) END",
+        "hospital_expire_flg": "if(c_custkey % 3 = 0, 'Y', 'N')",
+    }),
+    "admissions": ("orders", {
+        "hadm_id": "o_orderkey",
+        "subject_id": "o_custkey",
+        "admit_dt": "o_orderdate",
+        "disch_dt": "o_orderdate + make_dt_interval(cast(o_orderkey % 31 AS int), 6)",
+    }),
+    "drgevents": ("lineitem", {
+        "subject_id": "o_custkey",
+        "hadm_id": "l_orderkey",
+        "itemid": "l_partkey",
+        "cost_weight": "l_quantity",
+    }),
+    "d_codeditems": ("part", {
+        "itemid": "p_partkey",
+        "code": "p_brand",
+        "type": "p_type",
+        "description": "p_name",
+    }),
+    "demographic_detail": ("orders", {
+        "subject_id": "o_custkey",
+        "hadm_id": "o_orderkey",
+        "admission_type_descr": "CASE o_orderpriority WHEN '1-URGENT' THEN 'URGENT'"
+                                " WHEN '2-HIGH' THEN 'EMERGENCY' ELSE 'ELECTIVE' END",
+    }),
+    "icd9": ("lineitem", {
+        "subject_id": "o_custkey",
+        "hadm_id": "l_orderkey",
+        "sequence": "l_linenumber",
+        "code": "concat('C', cast(l_suppkey % 20 AS string))",
+    }),
+    "chartevents": ("events", {
+        "subject_id": "user_id",
+        "itemid": "event_id % 50",
+        "charttime": "ts",
+        "value1": "event_type",
+        "value1num": "value",
+    }),
 }
 
 
@@ -103,8 +84,7 @@ class MedicalTables:
         self.spark, self.folder = spark, folder
 
     def __call__(self, name: str, *columns: str) -> DataFrame:
-        file, build = TABLES[name]
-        exprs = build()
+        file, exprs = TABLES[name]
         names = columns or tuple(exprs)
         df = read_file(self.spark, self.folder, file)
         if file == "lineitem" and "subject_id" in names:
@@ -112,7 +92,7 @@ class MedicalTables:
             # is left out when its only column is not asked for.
             orders = read_file(self.spark, self.folder, "orders").select("o_orderkey", "o_custkey")
             df = df.join(orders, df.l_orderkey == orders.o_orderkey)
-        return df.select(*[exprs[c].alias(c) for c in names])
+        return df.selectExpr(*[f"{exprs[c]} AS {c}" for c in names])
 
     def names(self) -> list[str]:
         return list(TABLES)

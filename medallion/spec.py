@@ -55,6 +55,9 @@ class StreamSpec:
     method: str = APPEND
     merge_keys: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
+    # Appended rows lie together by these columns: for lookups by a column with too many values
+    # to have a folder each.
+    cluster_by: tuple[str, ...] = ()
     # Within one batch the row with the largest values of these columns replaces the others.
     order_by: tuple[str, ...] = ()
     on_duplicate: str = "last"
@@ -81,7 +84,8 @@ class StreamSpec:
             raise ValueError(f"{self.table}: buckets must lie between 1 and 4096")
         if self.bronze_folder in ("silver", "gold", "cache", "checkpoint"):
             raise ValueError(f"{self.table}: {self.bronze_folder} is the name of another layer")
-        unknown = {*self.merge_keys, *self.partition_by, *self.order_by} - {*names, ARRIVAL}
+        unknown = {*self.merge_keys, *self.partition_by, *self.order_by, *self.cluster_by} - {
+            *names, ARRIVAL}
         if unknown:
             raise ValueError(f"{self.table}: unknown columns {sorted(unknown)}")
 

@@ -12,6 +12,7 @@ from ..versions import Commit, VersionedTable, version_folder
 from .bronze import ensure_tables
 
 BUCKET = "_bucket"
+MAX_FOLDERS = 16  # of one bucket; then its small files are rewritten with the next batch
 
 
 def _bucket_of(spec: StreamSpec) -> Column:
@@ -27,46 +28,72 @@ def merge_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
                 number: int) -> None:
     """Upsert ``batch`` into the silver table: matched rows are replaced, others added.
 
-    Only the buckets that the keys fall in are read and rewritten. A batch that was applied
-    before is skipped; one that failed half-way is written again from the same state.
+    Of the buckets that the keys fall in, those with a matched row are rewritten; to the others
+    the new rows are added as one more folder, until there are ``MAX_FOLDERS`` of them. A batch
+    that was applied before is skipped; one that failed half-way is written again from the same
+    state.
     """
-    spark = batch.sparkSession
-    table = VersionedTable(spark, layout.silver(spec.table))
+    table = VersionedTable(batch.sparkSession, layout.silver(spec.table))
     state = table.current()
     if state.holds(stream, number):
         return
     if state.buckets not in (0, spec.buckets):
         raise ValueError(f"{spec.table} was written with {state.buckets} buckets")
+    version = state.number + 1
+    parts = {name: list(folders) for name, folders in state.parts.items()}
     rows = keep_newest(batch.select(*spec.column_names), spec.merge_keys, spec.order_by,
                        spec.on_duplicate)
+    # Used three times below; a lost executor's share is computed again from the batch.
     rows = rows.withColumn(BUCKET, _bucket_of(spec)).persist()
     try:
-        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # <= spec.buckets
-        parts = dict(state.parts)
-        version = state.number + 1
+        touched = _buckets_in(rows)
         if touched:
-            old = table.read(spec.table_schema, map(str, touched)).withColumn(
+            known = [b for b in touched if b in parts]
+            rewritten = _matched_buckets(table.read(spec.table_schema, known), rows, spec)
+            rewritten |= {b for b in known if len(parts[b]) >= MAX_FOLDERS}
+            old = table.read(spec.table_schema, sorted(rewritten)).withColumn(
                 BUCKET, _bucket_of(spec))
             # Files of even size per bucket: large buckets are split, small ones share a task.
-            layout_columns = [F.col(BUCKET), *[F.col(f"`{c}`") for c in spec.partition_by]]
+            folders = [F.col(BUCKET), *[F.col(f"`{c}`") for c in spec.partition_by]]
             (
-                upsert(old, rows, spec.merge_keys).hint("rebalance", *layout_columns)
+                upsert(old, rows, spec.merge_keys).hint("rebalance", *folders)
                 .write.mode("overwrite").partitionBy(BUCKET, *spec.partition_by)
                 .parquet(table.folder(version))
             )
-            parts.update({str(b): f"{version_folder(version)}/{BUCKET}={b}" for b in touched})
+            for b in touched:
+                kept = [] if b in rewritten else parts.get(b, [])
+                parts[b] = [*kept, f"{version_folder(version)}/{BUCKET}={b}"]
         table.commit(Commit(version, parts, {**state.applied, stream: number}, spec.buckets))
     finally:
         rows.unpersist()
 
 
+def _buckets_in(rows: DataFrame) -> set[str]:
+    return {str(r[0]) for r in rows.select(BUCKET).distinct().collect()}  # <= spec.buckets
+
+
+def _matched_buckets(table_rows: DataFrame, rows: DataFrame, spec: StreamSpec) -> set[str]:
+    """Buckets with a row that ``rows`` replace; only the key columns are read."""
+    keys = list(spec.merge_keys)
+    incoming = rows.filter(~any_null(keys)).select(*keys, BUCKET)
+    return _buckets_in(incoming.join(table_rows.select(*keys), keys, "left_semi"))
+
+
 def append_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
                  number: int) -> None:
     """Write the declared columns of ``batch`` to a folder of its own, which a replay of the
-    batch overwrites."""
+    batch overwrites.
+
+    With ``cluster_by`` the files hold ranges of these columns, so that a lookup skips most of
+    them by their statistics. The hash lets one value with many rows span several files.
+    """
+    rows = batch.select(*spec.column_names)
+    if spec.cluster_by:
+        near = [F.col(f"`{c}`") for c in spec.cluster_by]
+        spread = F.xxhash64(*[F.col(f"`{c}`") for c in spec.column_names])
+        rows = rows.repartitionByRange(*near, spread).sortWithinPartitions(*near)
     (
-        batch.select(*spec.column_names).write.mode("overwrite")
-        .partitionBy(*spec.partition_by)
+        rows.write.mode("overwrite").partitionBy(*spec.partition_by)
         .parquet(f"{layout.silver(spec.table)}/_batch={stream}-{number}")
     )
 

@@ -1,9 +1,9 @@
 """A table that is replaced in part or whole while others read it.
 
-Its rows lie in parquet folders that are never changed, ``_version=<number>/...``. A small JSON file
-per commit, ``_commits/<number>.json``, names the folders that make up the table. Readers take
-the newest commit, so they see the state before or after a change, never between, and a writer
-that dies leaves only folders no commit names. One writer at a time.
+Its rows lie in parquet folders that are never changed, ``_version=<number>/...``. A small
+JSON file per commit, ``_commits/<number>.json``, names the folders that make up the table.
+Readers take the newest commit, so they see the state before or after a change, never between,
+and a writer that dies leaves only folders no commit names. One writer at a time.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ def version_folder(number: int) -> str:
 @dataclass(frozen=True)
 class Commit:
     number: int
-    parts: dict[str, str] = field(default_factory=dict)  # name of a part -> its folder
+    parts: dict[str, list[str]] = field(default_factory=dict)  # name of a part -> its folders
     applied: dict[str, int] = field(default_factory=dict)  # stream id -> its last batch
     buckets: int = 0
 
+    def folders(self) -> list[str]:
+        return [folder for folders in self.parts.values() for folder in folders]
+
     def holds(self, stream: str, batch: int) -> bool:
         return batch <= self.applied.get(stream, -1)
 
@@ -67,7 +70,7 @@ class VersionedTable:
         """The current rows, or those of some parts. An empty table needs ``schema``."""
         current = self.current()
         names = current.parts if parts is None else [p for p in parts if p in current.parts]
-        folders = [f"{self.path}/{current.parts[name]}" for name in names]
+        folders = [f"{self.path}/{folder}" for name in names for folder in current.parts[name]]
         if not folders:
             if schema is None:
                 raise FileNotFoundError(f"{self.path} holds no table")
@@ -82,7 +85,7 @@ class VersionedTable:
         last = self.current()
         number = last.number + 1
         df.write.mode("overwrite").parquet(self.folder(number))
-        self.commit(Commit(number, {"all": version_folder(number)}))
+        self.commit(Commit(number, {"all": [version_folder(number)]}))
         return self.folder(number)
 
     def vacuum(self, keep: int = 2) -> list[str]:
@@ -94,8 +97,8 @@ class VersionedTable:
             raise ValueError("at least the current state must be kept")
         numbers = self.numbers()
         old = [self.commit_at(n) for n in numbers[:-keep]]
-        kept = {f for n in numbers[-keep:] for f in self.commit_at(n).parts.values()}
-        stale = sorted({f for c in old for f in c.parts.values()} - kept)
+        kept = {f for n in numbers[-keep:] for f in self.commit_at(n).folders()}
+        stale = sorted({f for c in old for f in c.folders()} - kept)
         for folder in stale:
             self.files.delete(f"{self.path}/{folder}")
         for commit in old:

@@ -61,6 +61,20 @@ def test_adhoc_sql_takes_values_apart_from_its_text(spark, tables):
     assert rows(df) == []
 
 
+def test_only_named_tables_become_views(spark, tables):
+    asked = []
+
+    class Watched:
+        names = staticmethod(tables.names)
+
+        def __call__(self, name, *columns):
+            asked.append(name)
+            return tables(name, *columns)
+
+    df = gold.run_sql(spark, Watched(), "SELECT count(*) FROM Admissions\nWHERE hadm_id > 0")
+    assert rows(df) == [(2,)] and asked == ["admissions"]
+
+
 def test_describe(spark, tables):
     assert [tuple(r) for r in gold.describe(spark, tables, "d_patients").collect()] == [
         ("subject_id", "int", None), ("sex", "string", None), ("dob", "timestamp", None),

@@ -23,6 +23,7 @@ from medallion.streaming import (
     stop_pipeline,
     vacuum_silver,
 )
+from medallion.streaming import silver
 from medallion.streaming.control import AVAILABLE_NOW
 from medallion.versions import VersionedTable
 
@@ -156,9 +157,45 @@ def test_only_touched_buckets_are_rewritten(spark, layout, tmp_path):
     merge_batch(_batch(spark, spec, [(5, 1, "b")]), spec, layout, "q", 1)
     after = table.current().parts
     assert len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
+    assert all(len(folders) == 1 for folders in after.values())
     assert read_silver(spark, spec, layout).count() == 200
 
 
+def test_new_keys_are_added_without_a_rewrite_until_there_are_many_folders(
+        spark, layout, tmp_path, monkeypatch):
+    monkeypatch.setattr(silver, "MAX_FOLDERS", 3)
+    spec = _merge_spec(tmp_path, buckets=1)
+    table = VersionedTable(spark, layout.silver("t"))
+    folders = []
+    for number in range(6):
+        merge_batch(_batch(spark, spec, [(number, 0, "a"), (None, number, "n")]), spec, layout,
+                    "q", number)
+        folders.append(len(table.current().parts["0"]))
+    assert folders == [1, 2, 3, 1, 2, 3]
+    merge_batch(_batch(spark, spec, [(2, 1, "b")]), spec, layout, "q", 6)
+    assert len(table.current().parts["0"]) == 1
+    assert _kinds(spark, spec, layout) == [(None, "n")] * 6 + [
+        (i, "b" if i == 2 else "a") for i in range(6)]
+
+
+def test_clustered_files_hold_ranges(spark, layout, tmp_path):
+    spec = StreamSpec("c", COLUMNS, cluster_by=("id",))
+    data = [(i % 50, i, "hot" if i % 3 else "k") for i in range(400)] + [(7, i, "x") for i in range(200)]
+    # Ranges this small would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        append_batch(_batch(spark, spec, data).repartition(4), spec, layout, "q", 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    df = read_silver(spark, spec, layout)
+    assert df.count() == 600
+    ranges = rows(df.groupBy(F.col("_metadata.file_path")).agg(F.min("id"), F.max("id"), F.count("*")))
+    assert len(ranges) > 1
+    bounds = sorted((low, high) for _, low, high, _ in ranges)
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+    assert max(n for *_, n in ranges) < 300  # the hot value 7 is not in one file
+
+
 def test_a_key_may_move_to_another_partition(spark, layout, tmp_path):
     spec = _merge_spec(tmp_path, partition_by=("kind",))
     merge_batch(_batch(spark, spec, [(1, 0, "a"), (2, 0, "a"), (3, 0, None)]), spec, layout, "q", 0)
