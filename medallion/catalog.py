@@ -243,7 +243,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id
             FROM ({EVENTS})))
 WHERE rn = 1""")
 
-HASH = "('0x' || substr(md5(CAST({} AS VARCHAR) || '42'), 1, 15))::BIGINT"
+HASH = "md5(CAST({} AS VARCHAR) || '42')"
 PURCHASES = """
 SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS purchase FROM events"""
 
@@ -269,7 +269,7 @@ UNION ALL
 SELECT m.event_id, m.purchase
 FROM (SELECT *, row_number() OVER (ORDER BY {HASH.format("event_id")}, event_id) - 1 AS place
       FROM ({PURCHASES}) WHERE purchase = 1) m
-JOIN (SELECT {HASH.format("i")} % n_minor AS place
+JOIN (SELECT ('0x' || substr({HASH.format("i")}, 1, 15))::BIGINT % n_minor AS place
       FROM (SELECT unnest(range(CAST(floor(CAST(0.4 AS DOUBLE) * n_major) AS BIGINT) - n_minor)) AS i,
                    n_minor
             FROM (SELECT count(*) FILTER (purchase = 1) AS n_minor,

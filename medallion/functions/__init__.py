@@ -1,6 +1,7 @@
 from .columns import (
     band,
     hash_key,
+    hash_number,
     label_nulls,
     month_of,
     ratio,
@@ -11,6 +12,6 @@ from .columns import (
 )
 
 __all__ = [
-    "band", "hash_key", "label_nulls", "month_of", "ratio", "row_as_json",
+    "band", "hash_key", "hash_number", "label_nulls", "month_of", "ratio", "row_as_json",
     "whole_days", "within_years", "year_of",
 ]

@@ -13,18 +13,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hash_key
+from ..functions import hash_key, hash_number
 from .joins import lookup_join
 
-HASH_BITS = 60
-BUCKET_BITS = 16
+BUCKET_DIGITS = 4  # of the hash, in hex
 
 
 def _keyed(df: DataFrame, identity: str, label: str, seed: str) -> DataFrame:
     h = hash_key(F.col(identity), seed)
     return (
         df.select(F.col(identity).alias("_id"), F.col(label).alias("_class"), h.alias("_h"))
-        .withColumn("_bucket", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
+        .withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
     )
 
 
@@ -64,8 +63,9 @@ def _cut_points(keyed: DataFrame, quota: Column) -> DataFrame:
     )
 
 
-def _up_to_cut(h: Column, identity: Column) -> Column:
-    return (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (identity <= F.col("_cut_id")))
+def _place(h: Column, identity: Column) -> Column:
+    """Hash and identity as one ordered value, so that the hash is computed once per row."""
+    return F.struct(h.alias("h"), identity.alias("id"))
 
 
 def split_by_class(df: DataFrame, identity: str, label: str, test_share: float = 0.2,
@@ -74,7 +74,8 @@ def split_by_class(df: DataFrame, identity: str, label: str, test_share: float =
     keyed = _keyed(df, identity, label, seed)
     quota = F.floor(F.lit(float(test_share)) * F.col("_total") + F.lit(0.5))
     cuts = _cut_points(keyed, quota).withColumnRenamed("_class", label)
-    chosen = _up_to_cut(hash_key(F.col(identity), seed), F.col(identity))
+    chosen = _place(hash_key(F.col(identity), seed), F.col(identity)) <= _place(
+        F.col("_cut_h"), F.col("_cut_id"))
     return (
         lookup_join(df, cuts, [label], "left")
         .withColumn(part, F.when(chosen, "test").otherwise("train"))
@@ -103,9 +104,8 @@ def undersample(df: DataFrame, identity: str, label: str, target: float = 0.6,
     cut = cuts.first()
     keep = F.col(label) == F.lit(minor)
     if cut is not None:
-        h, ident = hash_key(F.col(identity), seed), F.col(identity)
-        keep = keep | (h < F.lit(cut._cut_h)) | (
-            (h == F.lit(cut._cut_h)) & (ident <= F.lit(cut._cut_id)))
+        last = _place(F.lit(cut._cut_h), F.lit(cut._cut_id).cast(df.schema[identity].dataType))
+        keep = keep | (_place(hash_key(F.col(identity), seed), F.col(identity)) <= last)
     return df.filter(keep)
 
 
@@ -121,7 +121,7 @@ def oversample(df: DataFrame, identity: str, label: str, target: float = 0.4,
         raise ValueError(f"minority / majority is above {target} already")
     minority = df.filter(F.col(label) == F.lit(minor))
     keyed = minority.withColumn("_h", hash_key(F.col(identity), seed)).withColumn(
-        "_bucket", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
+        "_bucket", F.substring("_h", 1, BUCKET_DIGITS))
     starts = _histogram(_keyed(minority, identity, label, seed)).select("_bucket", "_before")
     in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", identity))
     placed = (
@@ -129,5 +129,5 @@ def oversample(df: DataFrame, identity: str, label: str, target: float = 0.4,
         .withColumn("_place", F.col("_before") + F.col("_n") - 1)
     )
     draws = df.sparkSession.range(extra).select(
-        F.pmod(hash_key(F.col("id"), seed), F.lit(n_minor)).alias("_place"))
+        F.pmod(hash_number(F.col("id"), seed), F.lit(n_minor)).alias("_place"))
     return df.unionByName(draws.join(placed, "_place").select(*df.columns))

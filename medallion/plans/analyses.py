@@ -184,10 +184,11 @@ def disease_mortality_ratio(tables: Tables, at_least: float = MIN_DEATH_RATIO,
 
 def code_distribution(tables: Tables, itemid: int, k: int = 10) -> DataFrame:
     """The codes most often recorded in the admissions of an item, as shares of all of them."""
-    known = tables("d_codeditems", "itemid").filter(F.col("itemid") == itemid)
+    # One row at most, so it is broadcast: a shuffle by item would send all matches to one task.
+    known = tables("d_codeditems", "itemid").filter(F.col("itemid") == itemid).distinct()
     matches = (
         tables("drgevents", "hadm_id", "itemid").filter(F.col("itemid") == itemid)
-        .join(known, "itemid", "left_semi")
+        .join(F.broadcast(known), "itemid", "left_semi")
     )
     shares = conditional_distribution(tables("icd9", "hadm_id", "code"), matches, "hadm_id", "code")
     return top_k(shares, [F.desc("ratio"), F.asc("code")], k).select("code", "ratio")

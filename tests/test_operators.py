@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from medallion.functions import (
     band,
     hash_key,
+    hash_number,
     label_nulls,
     ratio,
     row_as_json,
@@ -76,7 +77,9 @@ def test_json_leaves_nulls_out(spark):
 
 def test_hash_key_is_fixed(spark):
     df = spark.createDataFrame([(5,)], "id bigint")
-    assert df.select(hash_key(F.col("id"), "s")).first()[0] == 1090055943201545302
+    assert df.select(hash_number(F.col("id"), "s")).first()[0] == 1090055943201545302
+    key = df.select(hash_key(F.col("id"), "s")).first()[0]
+    assert len(key) == 32 and int(key[:15], 16) == 1090055943201545302
 
 
 def test_latest_per_key_is_total(spark):
