@@ -11,7 +11,7 @@ from .plans import analyses
 from .sources.medical import MedicalTables
 
 # Parameters of the registered queries.
-FIRST_YEAR, LAST_YEAR = 1996, 2000
+FIRST_YEAR, LAST_YEAR = demos.FIRST_YEAR, demos.LAST_YEAR
 ITEM = 42
 SUBJECT = 7
 
@@ -216,11 +216,11 @@ _oracle("cached_rows_by_month", f"""
 SELECT itemid, description, month, num AS "numCases" FROM ({BY_MONTH})
 WHERE "ROW_NUMBER" < 21 AND month IN ({", ".join(map(str, demos.MONTHS))})""")
 
-_oracle("refresh_subset", f"""
-SELECT 'admission_state_mortality' AS key, CAST(2 AS BIGINT) AS documents
-UNION ALL SELECT 'hospital_death_ratio', count(*) FROM (SELECT count(*) FROM d_patients)
-UNION ALL SELECT 'admissions_deaths_by_year', count(DISTINCT year(admit_dt)) FROM admissions
-WHERE year(admit_dt) BETWEEN {FIRST_YEAR} AND {LAST_YEAR}""")
+for _name, _keys in (("refresh_subset", demos.SUBSET),
+                     ("refresh_all", list(analyses.GOLD_ANALYSES))):
+    ORACLE_SQL[_name] = "\nUNION ALL\n".join(
+        f"SELECT '{key}' AS key, count(*) AS documents FROM ({ORACLE_SQL[key]})"
+        for key in _keys)
 
 ORACLE_SQL["describe_table"] = f"""
 SELECT column_name AS col_name,

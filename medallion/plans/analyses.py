@@ -65,15 +65,32 @@ def admissions_deaths_by_year(tables: Tables, first: int = 2005, last: int = 201
     return admitted.join(died, "year", "left").select("year", "num", "numDied").orderBy("year")
 
 
-def _cases_by_month(tables: Tables, num: str) -> DataFrame:
-    monthly = (
+def item_months(tables: Tables) -> DataFrame:
+    """Cases, ended stays and their whole days per item and calendar month of admission.
+
+    The one join of the two fact tables; three analyses start from it. What an analysis does not
+    use is pruned, down to the columns read.
+    """
+    stay = whole_days(F.col("admit_dt"), F.col("disch_dt"))
+    return (
         tables("drgevents", "hadm_id", "itemid")
-        .join(tables("admissions", "hadm_id", "admit_dt"), "hadm_id")
+        .join(tables("admissions", "hadm_id", "admit_dt", "disch_dt"), "hadm_id")
         .groupBy("itemid", month_of(F.col("admit_dt")).alias("month"))
-        .agg(F.count(F.lit(1)).alias("_cases"))
+        .agg(F.count(F.lit(1)).alias("cases"), F.count(stay).alias("stays"),
+             F.sum(stay).alias("days"))
     )
+
+
+def _derived(tables: Tables, function: Callable[[Tables], DataFrame]) -> DataFrame:
+    """The result of ``function``: stored, if a refresh made it for several analyses."""
+    stored = getattr(tables, "stored", {}).get(function.__name__)
+    return function(tables) if stored is None else stored
+
+
+def _cases_by_month(tables: Tables, num: str) -> DataFrame:
+    monthly = _derived(tables, item_months).select("itemid", "month", "cases")
     return monthly.join(_items(tables, "description"), "itemid").select(
-        "itemid", "description", "month", (F.col("_cases") * F.col("_copies")).alias(num))
+        "itemid", "description", "month", (F.col("cases") * F.col("_copies")).alias(num))
 
 
 def top5_diseases_by_month(tables: Tables) -> DataFrame:
@@ -94,12 +111,8 @@ def top20_diseases_by_month(tables: Tables) -> DataFrame:
 
 def stay_days_by_disease(tables: Tables, k: int = 20) -> DataFrame:
     """The items with the longest mean stay in whole days."""
-    stay = whole_days(F.col("admit_dt"), F.col("disch_dt"))
-    stays = (
-        tables("drgevents", "hadm_id", "itemid")
-        .join(tables("admissions", "hadm_id", "admit_dt", "disch_dt"), "hadm_id")
-        .groupBy("itemid").agg(F.avg(stay).alias("value"))
-    )
+    stays = _derived(tables, item_months).groupBy("itemid").agg(
+        ratio(F.sum("days"), F.sum("stays")).alias("value"))
     # Copies of an item's row would repeat every stay alike and leave the mean as it is.
     named = stays.join(_items(tables, "description"), "itemid").select(
         "itemid", "description", "value")
@@ -212,3 +225,8 @@ GOLD_ANALYSES: dict[str, Callable[[Tables], DataFrame]] = {
     "disease_mortality_ratio": disease_mortality_ratio,
     "top20_diseases_by_month": top20_diseases_by_month,
 }
+
+# Intermediate results that several analyses start from.
+SHARED: dict[Callable[[Tables], DataFrame], list[str]] = {
+    item_months: ["top5_diseases_by_month", "top20_diseases_by_month", "stay_days_by_disease"],
+}

@@ -76,13 +76,31 @@ def read_gold(spark: SparkSession, layout: Layout, key: str) -> DataFrame:
     return VersionedTable(spark, layout.gold(key)).read()
 
 
+class _WithStored:
+    """Tables of a project and, by name, the intermediate results stored for a refresh."""
+
+    def __init__(self, tables, stored: dict[str, DataFrame]):
+        self._tables, self.stored = tables, stored
+
+    def __call__(self, name: str, *columns: str) -> DataFrame:
+        return self._tables(name, *columns)
+
+    def names(self) -> list[str]:
+        return self._tables.names()
+
+
 class Registry:
-    """The saved queries and analyses of a project; each key has one current definition."""
+    """The saved queries and analyses of a project; each key has one current definition.
+
+    ``shared`` names intermediate results and the keys that start from them.
+    """
 
     def __init__(self, spark: SparkSession, tables, layout: Layout,
-                 definitions: Mapping[str, Definition] | None = None):
+                 definitions: Mapping[str, Definition] | None = None,
+                 shared: Mapping[Callable[[Tables], DataFrame], Iterable[str]] | None = None):
         self.spark, self.tables, self.layout = spark, tables, layout
         self.definitions: dict[str, Definition] = dict(definitions or {})
+        self.shared = {function: set(keys) for function, keys in (shared or {}).items()}
 
     def save(self, query: SavedQuery) -> None:
         self.definitions[query.key] = query
@@ -94,16 +112,30 @@ class Registry:
 
     def refresh(self, keys: Iterable[str] | None = None, to_gold: bool = True,
                 to_cache: bool = True) -> dict[str, Materialised]:
-        """Run definitions again (all of them by default): the job a scheduler calls."""
+        """Run definitions again (all of them by default): the job a scheduler calls.
+
+        An intermediate result that several of them start from is computed once and stored.
+        """
+        chosen = list(keys if keys is not None else self.definitions)
+        tables = self._with_shared(chosen) if to_gold else self.tables
         done = {}
-        for key in list(keys if keys is not None else self.definitions):
+        for key in chosen:
             if to_gold:
-                done[key] = materialise(self.spark, self.tables, self.layout, key,
+                done[key] = materialise(self.spark, tables, self.layout, key,
                                         self.definitions[key])
             if to_cache:
                 serving.publish(self.spark, self.layout, key)
         return done
 
+    def _with_shared(self, keys: list[str]):
+        stored = {}
+        for function, users in self.shared.items():
+            if len(users & set(keys)) > 1:
+                table = VersionedTable(self.spark, self.layout.shared(function.__name__))
+                table.replace(function(self.tables))
+                stored[function.__name__] = table.read()
+        return _WithStored(self.tables, stored) if stored else self.tables
+
     def drop(self, key: str) -> None:
         """Forget a definition and empty what readers see under its key."""
         self.definitions.pop(key, None)

@@ -131,6 +131,9 @@ class Layout:
     def gold(self, key: str) -> str:
         return self._path("gold", f"gold_{key}")
 
+    def shared(self, name: str) -> str:
+        return self._path("gold", f"shared_{name}")
+
     def cache(self, key: str) -> str:
         return self._path("cache", f"key={self.project}_{key}")
 

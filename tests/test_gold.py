@@ -135,3 +135,27 @@ def test_two_writers_cannot_make_the_same_commit(spark, layout):
     table.replace(spark.range(1))
     with pytest.raises(FileExistsError):
         table.commit(table.current())
+
+
+def test_a_refresh_joins_the_facts_once_for_several_analyses(spark, layout):
+    from medallion.plans import analyses
+    from medallion.sources import MedicalTables
+
+    asked = []
+
+    class Watched(MedicalTables):
+        def __call__(self, name, *columns):
+            asked.append(name)
+            return super().__call__(name, *columns)
+
+    tables = Watched(spark, "/root/testdata/sf0.001")
+    keys = analyses.SHARED[analyses.item_months]
+    registry = gold.Registry(spark, tables, layout, analyses.GOLD_ANALYSES, analyses.SHARED)
+    registry.refresh(keys, to_cache=False)
+    assert asked.count("drgevents") == 1
+    for key in keys:
+        alone = analyses.GOLD_ANALYSES[key](MedicalTables(spark, "/root/testdata/sf0.001"))
+        assert rows(gold.read_gold(spark, layout, key)) == rows(alone)
+    asked.clear()
+    registry.refresh(keys[:1], to_cache=False)
+    assert asked.count("drgevents") == 1
