@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import work_folder
 from ..spec import Layout, SavedQuery, StreamSpec, by_table
 from ..streaming.silver import read_silver
 from ..versions import VersionedTable
@@ -49,6 +50,23 @@ def run_sql(spark: SparkSession, tables, sql: str, args: Mapping | None = None)
     return spark.sql(sql, args=dict(args) if args else None)
 
 
+@dataclass(frozen=True)
+class Answer:
+    rows: DataFrame  # one JSON document per row
+    seconds: float
+
+
+def answer(spark: SparkSession, tables, sql: str, args: Mapping | None = None) -> Answer:
+    """Run a user's SQL to its end and tell how long it took, planning included.
+
+    The documents lie in the shared work folder, for the caller to page through.
+    """
+    began = time.monotonic()
+    path = work_folder(spark, "answer")
+    serving.json_rows(run_sql(spark, tables, sql, args)).write.parquet(path)
+    return Answer(spark.read.schema(serving.ROW).parquet(path), time.monotonic() - began)
+
+
 def describe(spark: SparkSession, tables, name: str) -> DataFrame:
     """Columns of a table as rows: col_name, data_type, comment."""
     tables(name).createOrReplaceTempView(name)
@@ -136,6 +154,14 @@ class Registry:
                 stored[function.__name__] = table.read()
         return _WithStored(self.tables, stored) if stored else self.tables
 
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete results older than the last ``keep`` runs of every key; returns the folders."""
+        paths = [self.layout.shared(function.__name__) for function in self.shared]
+        paths += [path(key) for key in self.definitions
+                  for path in (self.layout.gold, self.layout.cache)]
+        return [f"{path}/{folder}" for path in paths
+                for folder in VersionedTable(self.spark, path).vacuum(keep)]
+
     def drop(self, key: str) -> None:
         """Forget a definition and empty what readers see under its key."""
         self.definitions.pop(key, None)

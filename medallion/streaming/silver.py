@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,13 +17,20 @@ BUCKET = "_bucket"
 MAX_FOLDERS = 16  # of one bucket; then its small files are rewritten with the next batch
 
 
+def _bucket(hashed: Column, spec: StreamSpec) -> Column:
+    return F.pmod(hashed, F.lit(spec.buckets)).cast("int").alias(BUCKET)
+
+
+def _hash_of(names: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(f"`{n}`") for n in names])
+
+
 def _bucket_of(spec: StreamSpec) -> Column:
     """The bucket of a row's keys. A row with a NULL key matches nothing, so it may lie
     anywhere: a hash of the whole row spreads such rows."""
-    keys = F.xxhash64(*[F.col(f"`{k}`") for k in spec.merge_keys])
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in spec.column_names])
-    return F.pmod(F.when(any_null(spec.merge_keys), row).otherwise(keys),
-                  F.lit(spec.buckets)).cast("int")
+    nowhere = any_null(spec.merge_keys)
+    return _bucket(F.when(nowhere, _hash_of(spec.column_names)).otherwise(
+        _hash_of(spec.merge_keys)), spec)
 
 
 def merge_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
@@ -73,10 +82,12 @@ def _buckets_in(rows: DataFrame) -> set[str]:
 
 
 def _matched_buckets(table_rows: DataFrame, rows: DataFrame, spec: StreamSpec) -> set[str]:
-    """Buckets with a row that ``rows`` replace; only the key columns are read."""
+    """Buckets with a row that ``rows`` replace. Only the key columns of the table are read,
+    and not shuffled while the batch is small enough to be broadcast."""
     keys = list(spec.merge_keys)
-    incoming = rows.filter(~any_null(keys)).select(*keys, BUCKET)
-    return _buckets_in(incoming.join(table_rows.select(*keys), keys, "left_semi"))
+    incoming = rows.filter(~any_null(keys)).select(*keys)
+    matched = table_rows.select(*keys).join(incoming, keys, "left_semi")
+    return _buckets_in(matched.select(_bucket(_hash_of(keys), spec)))
 
 
 def append_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,

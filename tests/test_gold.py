@@ -159,3 +159,21 @@ def test_a_refresh_joins_the_facts_once_for_several_analyses(spark, layout):
     asked.clear()
     registry.refresh(keys[:1], to_cache=False)
     assert asked.count("drgevents") == 1
+
+
+def test_answer_holds_documents_and_time(spark, tables):
+    result = gold.answer(spark, tables, "select hadm_id, subject_id from admissions where hadm_id = :h",
+                         {"h": 10})
+    assert rows(result.rows) == [('{"hadm_id":10,"subject_id":1}',)] and result.seconds > 0
+    nothing = gold.answer(spark, tables, "select hadm_id from admissions where hadm_id < 0")
+    assert rows(nothing.rows) == []
+
+
+def test_vacuum_keeps_the_last_runs(spark, layout, tables):
+    registry = gold.Registry(spark, tables, layout, {"n": SavedQuery("n", "select 1 as n")})
+    for _ in range(4):
+        registry.refresh()
+    stale = registry.vacuum()
+    assert len(stale) == 4 and all("_version=00000000000" in path for path in stale)
+    assert registry.vacuum() == []
+    assert rows(serving.read(spark, layout, "n")) == [('{"n":1}',)]

@@ -119,6 +119,13 @@ def test_conditional_distribution_counts_all_pairs(spark):
     assert rows(result) == [("a", 4, 4 / 7), ("b", 3, 3 / 7)]
 
 
+def test_conditional_distribution_does_not_list_the_pairs_of_a_hot_value(spark):
+    n = 200_000  # 4 * 10^10 pairs
+    coded = spark.range(n).select(F.lit(1).alias("h"), (F.col("id") % 4).alias("code"))
+    result = conditional_distribution(coded, spark.range(n).select(F.lit(1).alias("h")), "h", "code")
+    assert rows(result) == [(c, n * n // 4, 0.25) for c in range(4)]
+
+
 def test_lookup_join_within_and_past_the_bound(spark):
     big = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
     small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
