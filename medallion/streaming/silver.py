@@ -57,15 +57,15 @@ def merge_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
     try:
         touched = _buckets_in(rows)
         if touched:
-            known = [b for b in touched if b in parts]
-            rewritten = _matched_buckets(table.read(spec.table_schema, known), rows, spec)
-            rewritten |= {b for b in known if len(parts[b]) >= MAX_FOLDERS}
-            old = table.read(spec.table_schema, sorted(rewritten)).withColumn(
-                BUCKET, _bucket_of(spec))
+            rewritten = _buckets_to_rewrite(table, parts, rows, touched, spec)
+            result = rows
+            if rewritten:
+                old = table.read(spec.table_schema, sorted(rewritten))
+                result = upsert(old.withColumn(BUCKET, _bucket_of(spec)), rows, spec.merge_keys)
             # Files of even size per bucket: large buckets are split, small ones share a task.
             folders = [F.col(BUCKET), *[F.col(f"`{c}`") for c in spec.partition_by]]
             (
-                upsert(old, rows, spec.merge_keys).hint("rebalance", *folders)
+                result.hint("rebalance", *folders)
                 .write.mode("overwrite").partitionBy(BUCKET, *spec.partition_by)
                 .parquet(table.folder(version))
             )
@@ -81,13 +81,22 @@ def _buckets_in(rows: DataFrame) -> set[str]:
     return {str(r[0]) for r in rows.select(BUCKET).distinct().collect()}  # <= spec.buckets
 
 
-def _matched_buckets(table_rows: DataFrame, rows: DataFrame, spec: StreamSpec) -> set[str]:
-    """Buckets with a row that ``rows`` replace. Only the key columns of the table are read,
-    and not shuffled while the batch is small enough to be broadcast."""
+def _buckets_to_rewrite(table: VersionedTable, parts: dict[str, list[str]], rows: DataFrame,
+                        touched: set[str], spec: StreamSpec) -> set[str]:
+    """Of the buckets that ``rows`` fall in, those with a row to replace or too many folders.
+
+    Only the key columns of the table are read, and not shuffled while the batch is small
+    enough to be broadcast.
+    """
+    full = {b for b in touched if len(parts.get(b, [])) >= MAX_FOLDERS}
+    open_ones = sorted(b for b in touched - full if b in parts)
+    if not open_ones:
+        return full
     keys = list(spec.merge_keys)
     incoming = rows.filter(~any_null(keys)).select(*keys)
-    matched = table_rows.select(*keys).join(incoming, keys, "left_semi")
-    return _buckets_in(matched.select(_bucket(_hash_of(keys), spec)))
+    matched = table.read(spec.table_schema, open_ones).select(*keys).join(
+        incoming, keys, "left_semi")
+    return full | _buckets_in(matched.select(_bucket(_hash_of(keys), spec)))
 
 
 def append_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
