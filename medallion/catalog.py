@@ -280,3 +280,32 @@ _oracle("score_threshold", """
 SELECT event_id AS encounter_id,
        CASE WHEN value / (value + 100) >= 0.28 THEN 1 ELSE 0 END AS diabetes_mellitus
 FROM events""")
+
+_oracle("accuracy_at_threshold", """
+SELECT count(*) AS n_rows,
+       avg(CASE WHEN (value / (value + 100) >= 0.28) = (event_type = 'purchase')
+                THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
+FROM events""")
+
+# Split, then draws of the minority, then the cut of the majority, all in hash order.
+_oracle("resampled_training", f"""
+, labelled AS (SELECT *, {HASH.format("event_id")} AS h FROM ({PURCHASES})),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY purchase ORDER BY h, event_id) AS rn,
+         count(*) OVER (PARTITION BY purchase) AS n FROM labelled),
+train AS (
+  SELECT event_id, purchase, h,
+         row_number() OVER (PARTITION BY purchase ORDER BY h, event_id) AS rn
+  FROM ranked WHERE rn > floor(CAST(0.2 AS DOUBLE) * n + 0.5)),
+sizes AS (SELECT count(*) FILTER (purchase = 1) AS n_minor,
+                 CAST(floor(CAST(0.4 AS DOUBLE) * count(*) FILTER (purchase = 0)) AS BIGINT) AS wanted
+          FROM train)
+SELECT event_id, purchase FROM train WHERE purchase = 1
+UNION ALL
+SELECT m.event_id, m.purchase
+FROM (SELECT unnest(range(wanted - n_minor)) AS i, n_minor FROM sizes) d
+JOIN train m ON m.purchase = 1
+  AND m.rn - 1 = ('0x' || substr({HASH.format("i")}, 1, 15))::BIGINT % n_minor
+UNION ALL
+SELECT event_id, purchase FROM train
+WHERE purchase = 0 AND rn <= (SELECT floor(wanted / CAST(0.6 AS DOUBLE)) FROM sizes)""")

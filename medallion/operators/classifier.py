@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import oversample, undersample
+from .sampling import resample
 
 # Fixed values of the model: width of its dense layer, training rounds, decision threshold,
 # and the minority / majority ratios that the two resampling steps aim at.
@@ -43,10 +43,7 @@ def with_array_features(df: DataFrame, column: str, keep: Sequence[str]) -> Data
 def rebalance_classes(train: DataFrame, identity: str, label: str, seed: str = "42") -> DataFrame:
     """Oversample the minority, then undersample the majority. Only ever for training rows:
     resampling ahead of the split would put copies of test rows into training."""
-    more = oversample(train, identity, label, OVER, seed)
-    # The draws repeat identities of the minority; the majority, which is cut by its hash,
-    # still holds each of its own once.
-    return undersample(more, identity, label, UNDER, seed)
+    return resample(train, identity, label, OVER, UNDER, seed)
 
 
 def train(rows: DataFrame, label: str, hidden: int = HIDDEN, rounds: int = ROUNDS,

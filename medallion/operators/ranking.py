@@ -43,3 +43,9 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows; each task keeps a heap of k rows, nothing is sorted whole."""
     return df.orderBy(*order).limit(k)
+
+
+def sort_bounded(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Sort a result whose number of rows is bounded by its definition, such as one row per
+    band or year: in one task, without the sampling job of a range partitioning."""
+    return df.coalesce(1).orderBy(*order)

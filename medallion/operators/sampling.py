@@ -92,34 +92,19 @@ def _two_classes(df: DataFrame, label: str):
     return minor, n_minor, major, n_major
 
 
-def undersample(df: DataFrame, identity: str, label: str, target: float = 0.6,
-                seed: str = "42") -> DataFrame:
-    """All minority rows and the floor(minority / target) majority rows of lowest hash."""
-    minor, n_minor, major, n_major = _two_classes(df, label)
-    wanted = math.floor(n_minor / target)
-    if wanted > n_major:
-        raise ValueError(f"minority / majority is above {target} already")
-    majority = df.filter(F.col(label) == F.lit(major))
-    cuts = _cut_points(_keyed(majority, identity, label, seed), F.lit(wanted)).drop("_class")
-    cut = cuts.first()
-    keep = F.col(label) == F.lit(minor)
-    if cut is not None:
-        last = _place(F.lit(cut._cut_h), F.lit(cut._cut_id).cast(df.schema[identity].dataType))
-        keep = keep | (_place(hash_key(F.col(identity), seed), F.col(identity)) <= last)
-    return df.filter(keep)
-
-
-def oversample(df: DataFrame, identity: str, label: str, target: float = 0.4,
-               seed: str = "42") -> DataFrame:
-    """All rows, and draws with replacement from the minority up to floor(target * majority).
-
-    Draw i takes the minority row at place hash(i) mod n in hash order.
-    """
-    minor, n_minor, _, n_major = _two_classes(df, label)
-    extra = math.floor(target * n_major) - n_minor
-    if extra < 0:
-        raise ValueError(f"minority / majority is above {target} already")
-    minority = df.filter(F.col(label) == F.lit(minor))
+def _lowest(df: DataFrame, identity: str, label: str, wanted: int, seed: str) -> Column:
+    """Condition for the ``wanted`` rows of lowest hash of ``df``, which holds one class."""
+    cut = _cut_points(_keyed(df, identity, label, seed), F.lit(wanted)).first()
+    if cut is None:
+        return F.lit(False)
+    last = _place(F.lit(cut._cut_h), F.lit(cut._cut_id).cast(df.schema[identity].dataType))
+    return _place(hash_key(F.col(identity), seed), F.col(identity)) <= last
+
+
+def _draws(minority: DataFrame, identity: str, label: str, n: int, extra: int,
+           seed: str) -> DataFrame:
+    """``extra`` draws with replacement from the ``n`` rows: draw i takes the row at place
+    hash(i) mod n in hash order. Places are counted per hash bucket, not over the whole table."""
     keyed = minority.withColumn("_h", hash_key(F.col(identity), seed)).withColumn(
         "_bucket", F.substring("_h", 1, BUCKET_DIGITS))
     starts = _histogram(_keyed(minority, identity, label, seed)).select("_bucket", "_before")
@@ -128,6 +113,40 @@ def oversample(df: DataFrame, identity: str, label: str, target: float = 0.4,
         lookup_join(keyed.withColumn("_n", in_bucket), starts, ["_bucket"])
         .withColumn("_place", F.col("_before") + F.col("_n") - 1)
     )
-    draws = df.sparkSession.range(extra).select(
-        F.pmod(hash_number(F.col("id"), seed), F.lit(n_minor)).alias("_place"))
-    return df.unionByName(draws.join(placed, "_place").select(*df.columns))
+    draws = minority.sparkSession.range(extra).select(
+        F.pmod(hash_number(F.col("id"), seed), F.lit(n)).alias("_place"))
+    return draws.join(placed, "_place").select(*minority.columns)
+
+
+def resample(df: DataFrame, identity: str, label: str, over: float | None = None,
+             under: float | None = None, seed: str = "42") -> DataFrame:
+    """Bring minority / majority first to ``over`` by drawing minority rows again, then to
+    ``under`` by leaving majority rows out. The sizes of both steps follow from one count."""
+    minor, n_minor, major, n_major = _two_classes(df, label)
+    minority = df.filter(F.col(label) == F.lit(minor))
+    extra = 0 if over is None else math.floor(over * n_major) - n_minor
+    if extra < 0:
+        raise ValueError(f"minority / majority is above {over} already")
+    result = df
+    if under is not None:
+        wanted = math.floor((n_minor + extra) / under)
+        if wanted > n_major:
+            raise ValueError(f"minority / majority is above {under} already")
+        majority = df.filter(F.col(label) == F.lit(major))
+        kept = _lowest(majority, identity, label, wanted, seed)
+        result = df.filter((F.col(label) == F.lit(minor)) | kept)
+    if extra:
+        result = result.unionByName(_draws(minority, identity, label, n_minor, extra, seed))
+    return result
+
+
+def oversample(df: DataFrame, identity: str, label: str, target: float = 0.4,
+               seed: str = "42") -> DataFrame:
+    """All rows, and draws with replacement from the minority up to floor(target * majority)."""
+    return resample(df, identity, label, over=target, seed=seed)
+
+
+def undersample(df: DataFrame, identity: str, label: str, target: float = 0.6,
+                seed: str = "42") -> DataFrame:
+    """All minority rows and the floor(minority / target) majority rows of lowest hash."""
+    return resample(df, identity, label, under=target, seed=seed)

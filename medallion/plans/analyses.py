@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import band, label_nulls, month_of, ratio, whole_days, within_years, year_of
-from ..operators import conditional_distribution, latest_per_key, top_k, top_n_per_group
+from ..operators import (
+    conditional_distribution,
+    latest_per_key,
+    sort_bounded,
+    top_k,
+    top_n_per_group,
+)
 
 Tables = Callable[..., DataFrame]
 
@@ -42,12 +48,12 @@ def _items(tables: Tables, *texts: str) -> DataFrame:
 def age_band_counts(tables: Tables) -> DataFrame:
     """Patients by period of life at death; without an age at death they count as the last."""
     age = whole_days(F.col("dob"), F.col("dod")) / DAYS_PER_YEAR
-    return (
+    counts = (
         tables("d_patients", "dob", "dod")
         .groupBy(band(age, LIFE_PERIODS, LAST_PERIOD).alias("period"))
         .agg(F.count(F.lit(1)).alias("num"))
-        .orderBy(F.desc("num"), "period")
     )
+    return sort_bounded(counts, [F.desc("num"), F.asc("period")])
 
 
 def admissions_deaths_by_year(tables: Tables, first: int = 2005, last: int = 2015,
@@ -62,7 +68,8 @@ def admissions_deaths_by_year(tables: Tables, first: int = 2005, last: int = 201
         .filter(within_years(F.col("dod"), first, last) & (F.col("hospital_expire_flg") == flag))
         .groupBy(year_of(F.col("dod")).alias("year")).agg(F.count(F.lit(1)).alias("numDied"))
     )
-    return admitted.join(died, "year", "left").select("year", "num", "numDied").orderBy("year")
+    counts = admitted.join(died, "year", "left").select("year", "num", "numDied")
+    return sort_bounded(counts, [F.asc("year")])
 
 
 def item_months(tables: Tables) -> DataFrame:
