@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import demos
-from .plans import analyses
+from .plans import analyses, flows
 from .sources.medical import MedicalTables
 
 # Parameters of the registered queries.
-FIRST_YEAR, LAST_YEAR = demos.FIRST_YEAR, demos.LAST_YEAR
+FIRST_YEAR, LAST_YEAR = flows.FIRST_YEAR, flows.LAST_YEAR
 ITEM = 42
 SUBJECT = 7
 
@@ -45,8 +44,8 @@ _analysis("code_distribution", analyses.code_distribution, itemid=ITEM)
 _analysis("events_for_subject", analyses.events_for_subject, subject_id=SUBJECT)
 _analysis("latest_admission_per_subject", analyses.latest_admission_per_subject)
 
-for _demo in demos.ALL:
-    QUERIES[_demo.__name__] = _demo
+for _flow in flows.ALL:
+    QUERIES[_flow.__name__] = _flow
 
 # The medical tables in SQL; every oracle below starts with them.
 VIEWS = """
@@ -214,9 +213,9 @@ FROM d_patients""")
 
 _oracle("cached_rows_by_month", f"""
 SELECT itemid, description, month, num AS "numCases" FROM ({BY_MONTH})
-WHERE "ROW_NUMBER" < 21 AND month IN ({", ".join(map(str, demos.MONTHS))})""")
+WHERE "ROW_NUMBER" < 21 AND month IN ({", ".join(map(str, flows.MONTHS))})""")
 
-for _name, _keys in (("refresh_subset", demos.SUBSET),
+for _name, _keys in (("refresh_subset", flows.SUBSET),
                      ("refresh_all", list(analyses.GOLD_ANALYSES))):
     ORACLE_SQL[_name] = "\nUNION ALL\n".join(
         f"SELECT '{key}' AS key, count(*) AS documents FROM ({ORACLE_SQL[key]})"
@@ -238,7 +237,7 @@ _oracle("stream_merge_silver", f"""
 SELECT event_id, ts, user_id, event_type, value
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id
                                    ORDER BY arrival DESC, ts DESC, event_id DESC) AS rn
-      FROM (SELECT *, (event_id - (SELECT min(event_id) FROM events)) * {demos.ARRIVALS}
+      FROM (SELECT *, (event_id - (SELECT min(event_id) FROM events)) * {flows.ARRIVALS}
                 // (SELECT max(event_id) - min(event_id) + 1 FROM events) AS arrival
             FROM ({EVENTS})))
 WHERE rn = 1""")

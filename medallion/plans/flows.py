@@ -11,15 +11,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import classifier, keep_newest, latest_per_key, upsert
-from .operators.sampling import oversample, split_by_class, undersample
-from .plans import analyses, gold, serving
-from .session import work_folder
-from .sources import MedicalTables, decode_payload
-from .sources.medical import read_file
-from .spec import ARRIVAL, MERGE, Layout, SavedQuery, StreamSpec, columns
-from .streaming import read_bronze, read_silver, run_available, start_bronze
-from .streaming.control import AVAILABLE_NOW
+from ..operators import classifier, keep_newest, latest_per_key, upsert
+from ..operators.sampling import oversample, split_by_class, undersample
+from ..session import work_folder
+from ..sources import MedicalTables, decode_payload
+from ..sources.medical import read_file
+from ..spec import ARRIVAL, MERGE, Layout, SavedQuery, StreamSpec, columns
+from ..streaming import read_bronze, read_silver, run_available, start_bronze
+from ..streaming.control import AVAILABLE_NOW
+from . import analyses, gold, serving
 
 FIRST_YEAR, LAST_YEAR = 1996, 2000
 MONTHS = [1, 4, 12]

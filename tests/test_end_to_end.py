@@ -1,0 +1,73 @@
+"""From CSV files of the hospital tables to published documents, with the preset definitions."""
+
+import json
+from dataclasses import replace
+
+from conftest import rows
+
+from medallion.plans import gold, serving
+from medallion.plans.analyses import GOLD_ANALYSES, SHARED, code_distribution, events_for_subject
+from medallion.presets import hospital_streams
+from medallion.spec import ARRIVAL
+from medallion.streaming import run_available
+
+FILES = {
+    "d_patients": ["1,F,1950-01-01 00:00:00,2006-02-01 00:00:00,Y", "2,M,2004-01-01 00:00:00,,N",
+                   "3,,1980-01-01 00:00:00,2005-05-05 00:00:00,Y"],
+    "admissions": ["10,1,2005-01-02 08:00:00,2005-01-05 09:00:00",
+                   "11,1,2006-01-20 08:00:00,2006-02-01 00:00:00",
+                   "20,2,2006-03-01 00:00:00,2006-03-02 00:00:00",
+                   "30,3,2005-05-01 00:00:00,2005-05-05 00:00:00"],
+    "drgevents": ["1,10,100,1.5", "1,11,200,2.5", "2,20,100,0.5", "3,30,200,1.0"],
+    "d_codeditems": ["100,A1,DRG,cat,lab,Heart", "200,B2,DRG,cat,lab,\"Lung, left\""],
+    "demographic_detail": [f"{s},{h},,,,,,,,,,{t},,"
+                           for s, h, t in ((1, 10, "ELECTIVE"), (1, 11, "EMERGENCY"),
+                                           (2, 20, "URGENT"), (3, 30, "EMERGENCY"))],
+    "icd9": ["1,10,1,401.9,x", "1,10,2,428.0,y", "2,20,1,401.9,x"],
+    "chartevents": ["1,5,211,2005-01-02 09:00:00,,,,,80,80.0,bpm,,,,,",
+                    "2,6,211,2006-03-01 01:00:00,,,,,90,90.0,bpm,,,,,"],
+}
+
+
+def test_files_to_documents(spark, layout, tmp_path):
+    streams = [
+        replace(s, buckets=2) for s in hospital_streams(str(tmp_path / "incoming"))
+        if s.table in FILES
+    ]
+    for spec in streams:
+        folder = tmp_path / "incoming" / spec.table
+        folder.mkdir(parents=True)
+        header = ",".join(c.name for c in spec.columns)
+        (folder / "part.csv").write_text("\n".join([header, *FILES[spec.table]]) + "\n")
+        run_available(spark, spec, layout)
+
+    # A corrected row arrives later and replaces the first one.
+    (tmp_path / "incoming" / "d_patients" / "late.csv").write_text(
+        "subject_id,sex,dob,dod,hospital_expire_flg\n2,F,2004-01-01 00:00:00,,N\n")
+    run_available(spark, next(s for s in streams if s.table == "d_patients"), layout)
+
+    tables = gold.SilverTables(spark, layout, streams)
+    registry = gold.Registry(spark, tables, layout, GOLD_ANALYSES, SHARED)
+    registry.refresh()
+
+    def result(key):
+        return rows(gold.read_gold(spark, layout, key))
+
+    assert result("age_band_counts") == [("Middle-aged", 1), ("Senior Citizen", 1), ("Young adult", 1)]
+    assert result("admissions_deaths_by_year") == [(2005, 2, 1), (2006, 2, 1)]
+    assert result("top5_diseases_by_month") == [
+        (1, 100, "Heart", 1, 1), (1, 100, "Heart", 3, 1), (1, 200, "Lung, left", 5, 1),
+        (2, 200, "Lung, left", 1, 1)]
+    assert result("stay_days_by_disease") == [(100, "Heart", 2.0), (200, "Lung, left", 7.5)]
+    assert result("top20_common_diseases") == [(100, "Heart", 2), (200, "Lung, left", 2)]
+    assert result("admission_state_mortality") == [("EMERGENCY", 2, 2, 1.0), ("URGENT", 1, 0, 0.0)]
+    assert result("patients_by_sex") == [("F", 2), ("N/A", 1)]
+    assert result("hospital_death_ratio") == [(3, 2, 2 / 3)]
+    assert result("disease_mortality_ratio") == [(200, "DRG", "Lung, left", 1.0)]
+    assert len(result("top20_diseases_by_month")) == 4
+
+    documents = [json.loads(r.row) for r in serving.read(spark, layout, "patients_by_sex").collect()]
+    assert {d["sex"]: d["numCases"] for d in documents} == {"F": 2, "N/A": 1}
+    assert rows(code_distribution(tables, 100)) == [("401.9", 2 / 3), ("428.0", 1 / 3)]
+    event = events_for_subject(tables, 1).drop(ARRIVAL).first()
+    assert event.value1num == 80.0 and event.value1 == "80" and event.stopped is None
