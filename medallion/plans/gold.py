@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import work_folder
@@ -94,6 +96,14 @@ def read_gold(spark: SparkSession, layout: Layout, key: str) -> DataFrame:
     return VersionedTable(spark, layout.gold(key)).read()
 
 
+class RefreshError(Exception):
+    """Some definitions failed; ``errors`` holds the exception of each key."""
+
+    def __init__(self, errors: dict[str, Exception]):
+        self.errors = errors
+        super().__init__("; ".join(f"{key}: {error}" for key, error in errors.items()))
+
+
 class _WithStored:
     """Tables of a project and, by name, the intermediate results stored for a refresh."""
 
@@ -129,21 +139,36 @@ class Registry:
         return self.refresh([query.key])[query.key]
 
     def refresh(self, keys: Iterable[str] | None = None, to_gold: bool = True,
-                to_cache: bool = True) -> dict[str, Materialised]:
+                to_cache: bool = True, parallel: int = 4) -> dict[str, Materialised]:
         """Run definitions again (all of them by default): the job a scheduler calls.
 
         An intermediate result that several of them start from is computed once and stored.
+        Keys do not depend on each other: up to ``parallel`` run at a time, so that the last
+        small stages of one leave no cluster idle, and one that fails stops no other.
         """
         chosen = list(keys if keys is not None else self.definitions)
         tables = self._with_shared(chosen) if to_gold else self.tables
-        done = {}
-        for key in chosen:
+
+        def run(key: str) -> Materialised | None:
+            done = None
             if to_gold:
-                done[key] = materialise(self.spark, tables, self.layout, key,
-                                        self.definitions[key])
+                done = materialise(self.spark, tables, self.layout, key, self.definitions[key])
             if to_cache:
                 serving.publish(self.spark, self.layout, key)
-        return done
+            return done
+
+        results, errors = {}, {}
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            jobs = {key: pool.submit(inheritable_thread_target(self.spark)(run), key)
+                    for key in chosen}
+            for key, job in jobs.items():
+                try:
+                    results[key] = job.result()
+                except Exception as error:
+                    errors[key] = error
+        if errors:
+            raise RefreshError(errors)
+        return {key: done for key, done in results.items() if done}
 
     def _with_shared(self, keys: list[str]):
         stored = {}

@@ -177,3 +177,16 @@ def test_vacuum_keeps_the_last_runs(spark, layout, tables):
     assert len(stale) == 4 and all("_version=00000000000" in path for path in stale)
     assert registry.vacuum() == []
     assert rows(serving.read(spark, layout, "n")) == [('{"n":1}',)]
+
+
+def test_one_failing_key_stops_no_other(spark, layout, tables):
+    registry = gold.Registry(spark, tables, layout, {
+        "bad": SavedQuery("bad", "select no_such_column from d_patients"),
+        "good": SavedQuery("good", "select count(*) as n from d_patients"),
+        "late": SavedQuery("late", "select raise_error('no') as x")})
+    with pytest.raises(gold.RefreshError) as caught:
+        registry.refresh()
+    assert set(caught.value.errors) == {"bad", "late"}
+    assert rows(serving.read(spark, layout, "good")) == [('{"n":2}',)]
+    with pytest.raises(gold.RefreshError):
+        registry.refresh(["unknown"])
