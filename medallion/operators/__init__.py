@@ -5,6 +5,7 @@ from .sampling import oversample, resample, split_by_class, undersample
 from .upsert import keep_newest, upsert
 
 __all__ = [
-    "conditional_distribution", "keep_newest", "latest_per_key", "lookup_join",
-    "oversample", "resample", "sort_bounded", "split_by_class", "top_k", "top_n_per_group", "undersample", "upsert",
+    "conditional_distribution", "keep_newest", "latest_per_key", "lookup_join", "oversample",
+    "resample", "sort_bounded", "split_by_class", "top_k", "top_n_per_group", "undersample",
+    "upsert",
 ]

@@ -72,30 +72,34 @@ def admissions_deaths_by_year(tables: Tables, first: int = 2005, last: int = 201
     return sort_bounded(counts, [F.asc("year")])
 
 
-def item_months(tables: Tables) -> DataFrame:
-    """Cases, ended stays and their whole days per item and calendar month of admission.
-
-    The one join of the two fact tables; three analyses start from it. What an analysis does not
-    use is pruned, down to the columns read.
-    """
+def _cases(tables: Tables) -> DataFrame:
+    """Item, calendar month of admission and whole days of stay of every coded event: the one
+    join of the two fact tables. Columns that an analysis does not use are not read."""
     stay = whole_days(F.col("admit_dt"), F.col("disch_dt"))
     return (
         tables("drgevents", "hadm_id", "itemid")
         .join(tables("admissions", "hadm_id", "admit_dt", "disch_dt"), "hadm_id")
-        .groupBy("itemid", month_of(F.col("admit_dt")).alias("month"))
-        .agg(F.count(F.lit(1)).alias("cases"), F.count(stay).alias("stays"),
-             F.sum(stay).alias("days"))
+        .select("itemid", month_of(F.col("admit_dt")).alias("month"), stay.alias("days"))
     )
 
 
-def _derived(tables: Tables, function: Callable[[Tables], DataFrame]) -> DataFrame:
-    """The result of ``function``: stored, if a refresh made it for several analyses."""
-    stored = getattr(tables, "stored", {}).get(function.__name__)
-    return function(tables) if stored is None else stored
+def item_months(tables: Tables) -> DataFrame:
+    """Cases, ended stays and their days per item and month; three analyses can start from it."""
+    return _cases(tables).groupBy("itemid", "month").agg(
+        F.count(F.lit(1)).alias("cases"), F.count("days").alias("stays"),
+        F.sum("days").alias("days"))
+
+
+def _stored(tables: Tables, function: Callable[[Tables], DataFrame]) -> DataFrame | None:
+    """The result of ``function``, if a refresh stored it for several analyses."""
+    return getattr(tables, "stored", {}).get(function.__name__)
 
 
 def _cases_by_month(tables: Tables, num: str) -> DataFrame:
-    monthly = _derived(tables, item_months).select("itemid", "month", "cases")
+    monthly = _stored(tables, item_months)
+    if monthly is None:
+        monthly = item_months(tables)
+    monthly = monthly.select("itemid", "month", "cases")
     return monthly.join(_items(tables, "description"), "itemid").select(
         "itemid", "description", "month", (F.col("cases") * F.col("_copies")).alias(num))
 
@@ -118,10 +122,13 @@ def top20_diseases_by_month(tables: Tables) -> DataFrame:
 
 def stay_days_by_disease(tables: Tables, k: int = 20) -> DataFrame:
     """The items with the longest mean stay in whole days."""
-    stays = _derived(tables, item_months).groupBy("itemid").agg(
-        ratio(F.sum("days"), F.sum("stays")).alias("value"))
+    monthly = _stored(tables, item_months)
+    if monthly is None:
+        mean = _cases(tables).groupBy("itemid").agg(F.avg("days").alias("value"))
+    else:
+        mean = monthly.groupBy("itemid").agg(ratio(F.sum("days"), F.sum("stays")).alias("value"))
     # Copies of an item's row would repeat every stay alike and leave the mean as it is.
-    named = stays.join(_items(tables, "description"), "itemid").select(
+    named = mean.join(_items(tables, "description"), "itemid").select(
         "itemid", "description", "value")
     return top_k(named, [F.desc_nulls_last("value"), F.asc("itemid"), F.asc("description")], k)
 

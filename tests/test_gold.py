@@ -40,7 +40,8 @@ def test_saved_query_over_silver(spark, layout, tables):
     assert rows(spark.sql(f"select sex, days from parquet.`{done.path}`")) == [(None, 1), ("F", 3)]
     assert done.seconds > 0
     # Another result under the key, with another schema.
-    gold.materialise(spark, tables, layout, "stay", SavedQuery("stay", "select count(*) n from icustayevents"))
+    other = SavedQuery("stay", "select count(*) n from icustayevents")
+    gold.materialise(spark, tables, layout, "stay", other)
     assert rows(gold.read_gold(spark, layout, "stay")) == [(1,)]
 
 
