@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,18 +12,26 @@ from pyspark.sql import functions as F
 SCHEMA = "key long, blob binary"
 
 
+def packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.tobytes(), 1)
+
+
+def unpacked(blob: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), dtype=dtype)
+
+
 def _sum(dtype: str):
     def run(frames):
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
             for key, blob in zip(frame["key"], frame["blob"]):
-                part = np.frombuffer(blob, dtype=dtype)
+                part = unpacked(blob, dtype)
                 if key in sums:
                     sums[key] += part
                 else:
                     sums[key] = part.copy()
         if sums:
-            yield pd.DataFrame({"key": list(sums), "blob": [a.tobytes() for a in sums.values()]})
+            yield pd.DataFrame({"key": list(sums), "blob": [packed(a) for a in sums.values()]})
 
     return run
 

@@ -150,6 +150,12 @@ def _gap(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
+def _lowest(rows: DataFrame, group: list[str], seed: int) -> DataFrame:
+    """The ``SAMPLE`` rows of each group that are first by a hash."""
+    draw = Window.partitionBy(*group).orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    return rows.withColumn("draw", F.row_number().over(draw)).filter(F.col("draw") <= SAMPLE)
+
+
 def _tree(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(id, node): the leaf of every class; and per level (parent, node, centre, cover), where a
     node that isn't divided has itself as its only child."""
@@ -164,13 +170,13 @@ def _tree(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if large.isEmpty():
             break
         inner = state.drop("radius").join(large, "node")
-        draw = Window.partitionBy("node").orderBy(F.xxhash64("id", F.lit(depth)), "id")
+        salts = F.ceil(F.col("size") / F.lit(DEALT)).cast("long")
+        inner = inner.withColumn("salt", F.pmod(F.xxhash64("id"), salts)).repartition("node", "salt")
         centres = checkpointed(
-            inner.withColumn("draw", F.row_number().over(draw)).filter(F.col("draw") <= SAMPLE)
+            _lowest(_lowest(inner, ["node", "salt"], depth), ["node"], depth)
             .groupBy("node").applyInPandas(
                 _centres, "node long, size long, radius double, centres array<double>"))
-        salts = F.ceil(F.col("size") / F.lit(DEALT)).cast("long")
-        dealt = inner.select("node", "id", "vector", F.pmod(F.xxhash64("id"), salts).alias("salt"))
+        dealt = inner.select("node", "id", "vector", "salt")
         spread = centres.withColumn(
             "salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
         moved = (

@@ -95,6 +95,7 @@ def _level(units: DataFrame, level: int, seed: int) -> DataFrame:
         .withColumn("hash", F.xxhash64(*key))
         .withColumn("group", F.pmod(F.xxhash64("hash"), F.col("groups")))
         .withColumn("draw", uniform(F.lit("draw"), *key))
+        .repartition("place", "group")  # the join may have dealt a hot source to one task
     )
     # Repeated rows share a hash: a group that they overfill is cut by position.
     order = Window.partitionBy("place", "group").orderBy("hash", "doc_id", "size", "part")

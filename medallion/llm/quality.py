@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blobs import SCHEMA, summed
+from .blobs import SCHEMA, packed, summed, unpacked
 from .common import checkpointed, fold, fresh
 
 FOLDS, HELD_OUT = 4, 2
@@ -109,10 +109,10 @@ def _moments(rows: DataFrame) -> dict[int, np.ndarray]:
                 x, trusted = _expanded(levels), frame["trusted"].to_numpy(bool)
                 total[0] += x.T @ x
                 total[1] += x[trusted].T @ x[trusted]
-        yield pd.DataFrame({"key": [0, 1], "blob": [total[0].tobytes(), total[1].tobytes()]})
+        yield pd.DataFrame({"key": [0, 1], "blob": [packed(total[0]), packed(total[1])]})
 
     sums = summed(rows.select("steps", "trusted").mapInPandas(run, SCHEMA), "f8").collect()
-    found = {r["key"]: np.frombuffer(r["blob"]).reshape(WIDTH, WIDTH) for r in sums}
+    found = {r["key"]: unpacked(r["blob"], "f8").reshape(WIDTH, WIDTH) for r in sums}
     return {k: found.get(k, np.zeros((WIDTH, WIDTH))) for k in (0, 1)}
 
 

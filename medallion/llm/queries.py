@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann_graph, cover_tree, line_dedup, mixing, packing, quality, sharding,
-               simhash)
+from . import (ann_graph, context_mixing, cover_tree, line_dedup, mixing, packing, quality,
+               sharding, simhash)
 from .common import checkpointed
 
 
@@ -27,6 +27,11 @@ def op2_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
     return cover_tree.linked(_table(spark, folder, "embeddings"))
 
 
+def op3_context_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score under the mixed model and under single words."""
+    return context_mixing.scored(_table(spark, folder, "documents"))
+
+
 def op4_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard and slot, and its shard with one shard more."""
     return sharding.sharded(_table(spark, folder, "documents"))
@@ -65,6 +70,6 @@ def op10_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_pivotal_mix, op2_cover_tree, op4_hash_tree_shards, op6_pruned_graph, op7_deletion_variants, op8_histogram_packs,
+    op1_pivotal_mix, op2_cover_tree, op3_context_mix, op4_hash_tree_shards, op6_pruned_graph, op7_deletion_variants, op8_histogram_packs,
     op9_positive_unlabelled, op10_line_chunks)}
 ORACLE_SQL: dict[str, str] = {}
