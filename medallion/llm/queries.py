@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (ann_graph, context_mixing, cover_tree, line_dedup, mixing, packing, quality,
-               sharding, simhash)
+from . import (ann_graph, context_mixing, cover_tree, language, line_dedup, mixing, packing,
+               quality, sharding, simhash)
 from .common import checkpointed
 
 
@@ -37,6 +37,12 @@ def op4_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(_table(spark, folder, "documents"))
 
 
+def op5_evidence_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's language; trigrams are learnt from all labelled documents."""
+    names, model = language.learnt(_table(spark, folder, "documents"))
+    return language.identified(_table(spark, folder, "pages"), names, model)
+
+
 def op6_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one, among all others."""
     vectors = _table(spark, folder, "embeddings")
@@ -70,6 +76,7 @@ def op10_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_pivotal_mix, op2_cover_tree, op3_context_mix, op4_hash_tree_shards, op6_pruned_graph, op7_deletion_variants, op8_histogram_packs,
+    op1_pivotal_mix, op2_cover_tree, op3_context_mix, op4_hash_tree_shards, op5_evidence_fusion,
+    op6_pruned_graph, op7_deletion_variants, op8_histogram_packs,
     op9_positive_unlabelled, op10_line_chunks)}
 ORACLE_SQL: dict[str, str] = {}
