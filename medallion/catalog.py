@@ -221,11 +221,6 @@ for _name, _keys in (("refresh_subset", flows.SUBSET),
         f"SELECT '{key}' AS key, count(*) AS documents FROM ({ORACLE_SQL[key]})"
         for key in _keys)
 
-ORACLE_SQL["describe_table"] = f"""
-SELECT column_name AS col_name,
-       CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS data_type,
-       CAST(NULL AS VARCHAR) AS comment
-FROM (DESCRIBE {VIEWS} SELECT * FROM d_patients)"""
 
 _oracle("decode_payload", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from .joins import lookup_join
 
 
 def conditional_distribution(coded: DataFrame, matches: DataFrame, on: str, code: str) -> DataFrame:
@@ -14,12 +13,12 @@ def conditional_distribution(coded: DataFrame, matches: DataFrame, on: str, code
     share ``on``, as a share of all such pairs: columns ``code``, ``cases``, ``ratio``.
 
     The pairs are counted, never listed: ``matches`` is first reduced to one weighted row per
-    ``on``, so a value with many rows on both sides costs their sum, not their product. While
-    those weights are few, ``coded`` is filtered where it is read and only counts are shuffled.
+    ``on``, so a value with many rows on both sides costs their sum, not their product. Spark
+    broadcasts the weights once their measured size allows it; a hot value is split as skew.
     """
     weights = matches.groupBy(on).agg(F.count(F.lit(1)).alias("_weight"))
     cases = (
-        lookup_join(coded.select(on, code), weights, [on])
+        coded.select(on, code).join(weights, on)
         .groupBy(code).agg(F.sum("_weight").alias("cases"))
     )
     # The total reads the shuffle of `cases` again (a reused exchange), not the tables.

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_key, hash_number
-from .joins import lookup_join
 
 BUCKET_DIGITS = 4  # of the hash, in hex
 
@@ -55,7 +54,7 @@ def _cut_points(keyed: DataFrame, quota: Column) -> DataFrame:
                 & (F.col("_before") + F.col("_rows") >= F.col("_quota")))
         .select("_class", "_bucket", (F.col("_quota") - F.col("_before")).alias("_place"))
     )
-    in_border = lookup_join(keyed, border, ["_class", "_bucket"])
+    in_border = keyed.join(border, ["_class", "_bucket"])
     place = F.row_number().over(Window.partitionBy("_class").orderBy("_h", "_id"))
     return (
         in_border.withColumn("_n", place).filter(F.col("_n") == F.col("_place"))
@@ -77,7 +76,7 @@ def split_by_class(df: DataFrame, identity: str, label: str, test_share: float =
     chosen = _place(hash_key(F.col(identity), seed), F.col(identity)) <= _place(
         F.col("_cut_h"), F.col("_cut_id"))
     return (
-        lookup_join(df, cuts, [label], "left")
+        df.join(cuts, label, "left")
         .withColumn(part, F.when(chosen, "test").otherwise("train"))
         .select(*df.columns, part)
     )
@@ -110,7 +109,7 @@ def _draws(minority: DataFrame, identity: str, label: str, n: int, extra: int,
     starts = _histogram(_keyed(minority, identity, label, seed)).select("_bucket", "_before")
     in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", identity))
     placed = (
-        lookup_join(keyed.withColumn("_n", in_bucket), starts, ["_bucket"])
+        keyed.withColumn("_n", in_bucket).join(starts, "_bucket")
         .withColumn("_place", F.col("_before") + F.col("_n") - 1)
     )
     draws = minority.sparkSession.range(extra).select(

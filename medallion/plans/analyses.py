@@ -174,10 +174,9 @@ def admission_state_mortality(tables: Tables, states: list[str] | None = None,
 
 def patients_by_sex(tables: Tables) -> DataFrame:
     """Patients by sex; NULL and the literal label form one group."""
-    return (
-        tables("d_patients", "sex").groupBy(label_nulls(F.col("sex")).alias("sex"))
-        .agg(F.count(F.lit(1)).alias("numCases")).orderBy("numCases", "sex")
-    )
+    counts = tables("d_patients", "sex").groupBy(label_nulls(F.col("sex")).alias("sex")).agg(
+        F.count(F.lit(1)).alias("numCases"))
+    return sort_bounded(counts, [F.col("numCases"), F.col("sex")])
 
 
 def hospital_death_ratio(tables: Tables, flag: str = "Y") -> DataFrame:

@@ -114,11 +114,6 @@ def refresh_all(spark: SparkSession, folder: str) -> DataFrame:
     return _refreshed(spark, folder, list(analyses.GOLD_ANALYSES))
 
 
-def describe_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Names and types of a table's columns, as rows."""
-    return gold.describe(spark, MedicalTables(spark, folder), "d_patients")
-
-
 def decode_payload_query(spark: SparkSession, folder: str) -> DataFrame:
     """The JSON payload of every event as typed columns."""
     messages = read_file(spark, folder, "events").select("event_id", "props")
@@ -169,7 +164,7 @@ def stream_merge_silver(spark: SparkSession, folder: str) -> DataFrame:
     """Files to bronze to a silver table with one row per user: the newest of the last arrival."""
     layout = _layout(spark, "merge")
     spec = _event_stream(layout, method=MERGE, merge_keys=("user_id",),
-                         order_by=("ts", "event_id"), buckets=8)
+                         order_by=("ts", "event_id"))
     for _ in _arrivals(spark, folder, spec):
         run_available(spark, spec, layout)
     return read_silver(spark, spec, layout).drop(ARRIVAL)
@@ -237,7 +232,7 @@ def classifier_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 ALL = [
     upsert_batch, saved_query_gold, adhoc_sql, result_cache_roundtrip, cached_rows_by_month,
-    refresh_subset, refresh_all, describe_table, decode_payload_query, ingest_csv_bronze,
+    refresh_subset, refresh_all, decode_payload_query, ingest_csv_bronze,
     stream_append_silver, stream_merge_silver, stratified_split, random_oversample,
     random_undersample, resampled_training, accuracy_at_threshold, score_threshold,
     classifier_eval,

@@ -146,7 +146,7 @@ class Registry:
         Keys do not depend on each other: up to ``parallel`` run at a time, so that the last
         small stages of one leave no cluster idle, and one that fails stops no other.
         """
-        chosen = list(keys if keys is not None else self.definitions)
+        chosen = list(dict.fromkeys(keys if keys is not None else self.definitions))
         tables = self._with_shared(chosen) if to_gold else self.tables
 
         def run(key: str) -> Materialised | None:
@@ -175,7 +175,10 @@ class Registry:
         for function, users in self.shared.items():
             if len(users & set(keys)) > 1:
                 table = VersionedTable(self.spark, self.layout.shared(function.__name__))
-                table.replace(function(self.tables))
+                try:
+                    table.replace(function(self.tables))
+                except Exception:  # its users compute it themselves and report what fails
+                    continue
                 stored[function.__name__] = table.read()
         return _WithStored(self.tables, stored) if stored else self.tables
 

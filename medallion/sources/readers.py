@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from ..spec import StreamSpec
 
 CSV_OPTIONS = {"sep": ",", "header": "true"}
+# The file source forgets files much older than the newest one and would skip late arrivals.
+STREAM_OPTIONS = {"maxFileAge": "365000d"}
 FILE_FORMATS = ("csv", "parquet", "json", "orc")
 
 
@@ -44,7 +46,7 @@ def stream_source(spark: SparkSession, spec: StreamSpec) -> DataFrame:
     """
     reader = spark.readStream.format(spec.source_format)
     if spec.source_format in FILE_FORMATS:
-        defaults = CSV_OPTIONS if spec.source_format == "csv" else {}
+        defaults = STREAM_OPTIONS | (CSV_OPTIONS if spec.source_format == "csv" else {})
         return (reader.options(**{**defaults, **spec.source_options})
                 .schema(spec.source_schema).load(spec.source_path))
     reader = reader.options(**spec.source_options)

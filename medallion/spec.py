@@ -66,8 +66,6 @@ class StreamSpec:
     source_options: Mapping[str, str] = field(default_factory=dict)
     payload_format: str = "json"  # of the `value` column of a message source
     bronze_folder: str = "bronze"
-    # A merge rewrites the hash buckets its keys fall in; fixed once the table holds rows.
-    buckets: int = 64
     active: bool = True
 
     def __post_init__(self):
@@ -80,8 +78,6 @@ class StreamSpec:
             raise ValueError(f"{self.table}: method must be {APPEND} or {MERGE}")
         if self.method == MERGE and not self.merge_keys:
             raise ValueError(f"{self.table}: a merge needs keys")
-        if not 1 <= self.buckets <= 4096:
-            raise ValueError(f"{self.table}: buckets must lie between 1 and 4096")
         if self.bronze_folder in ("silver", "gold", "cache", "checkpoint"):
             raise ValueError(f"{self.table}: {self.bronze_folder} is the name of another layer")
         unknown = {*self.merge_keys, *self.partition_by, *self.order_by, *self.cluster_by} - {

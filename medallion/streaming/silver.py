@@ -4,125 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import any_null, keep_newest, upsert
+from ..operators.upsert import keep_newest, upsert
 from ..spec import MERGE, Layout, StreamSpec
-from ..versions import Commit, VersionedTable, version_folder
+from ..versions import VERSION, Commit, VersionedTable, version_folder
 from .bronze import ensure_tables
 
-BUCKET = "_bucket"
-MAX_FOLDERS = 16  # of one bucket; then its small files are rewritten with the next batch
+BASE = "base"  # the part of a table that holds one row per key already
 
 
-def _bucket(hashed: Column, spec: StreamSpec) -> Column:
-    return F.pmod(hashed, F.lit(spec.buckets)).cast("int").alias(BUCKET)
+def _clustered(rows: DataFrame, columns: Sequence[str], spec: StreamSpec) -> DataFrame:
+    """Files that hold ranges of ``columns``, so that a lookup skips most of them by their
+    statistics. The hash lets one value with many rows span several files."""
+    if not columns:
+        return rows
+    near = [F.col(f"`{c}`") for c in columns]
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in spec.column_names])
+    return rows.repartitionByRange(*near, spread).sortWithinPartitions(*near)
 
 
-def _hash_of(names: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(f"`{n}`") for n in names])
-
-
-def _bucket_of(spec: StreamSpec) -> Column:
-    """The bucket of a row's keys. A row with a NULL key matches nothing, so it may lie
-    anywhere: a hash of the whole row spreads such rows."""
-    nowhere = any_null(spec.merge_keys)
-    return _bucket(F.when(nowhere, _hash_of(spec.column_names)).otherwise(
-        _hash_of(spec.merge_keys)), spec)
+def _add(rows: DataFrame, spec: StreamSpec, layout: Layout, stream: str, number: int) -> None:
+    """Write a batch to a folder of its own and name it in a commit: readers see all of it or
+    nothing. A batch that was applied before is skipped; one that failed half-way is written
+    again over what it left."""
+    table = VersionedTable(rows.sparkSession, layout.silver(spec.table))
+    state = table.current()
+    if state.holds(stream, number):
+        return
+    version = state.number + 1
+    rows.write.mode("overwrite").parquet(table.folder(version))
+    parts = {**state.parts, str(version): [version_folder(version)]}
+    table.commit(Commit(version, parts, {**state.applied, stream: number}))
 
 
 def merge_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
                 number: int) -> None:
-    """Upsert ``batch`` into the silver table: matched rows are replaced, others added.
+    """Upsert ``batch`` into the silver table: its rows replace those of the same key.
 
-    Of the buckets that the keys fall in, those with a matched row are rewritten; to the others
-    the new rows are added as one more folder, until there are ``MAX_FOLDERS`` of them. A batch
-    that was applied before is skipped; one that failed half-way is written again from the same
-    state.
+    Only the batch's rows are written, one per key. Reading lets the last batch win;
+    :func:`compact_silver` makes that the table's base.
     """
-    table = VersionedTable(batch.sparkSession, layout.silver(spec.table))
-    state = table.current()
-    if state.holds(stream, number):
-        return
-    if state.buckets not in (0, spec.buckets):
-        raise ValueError(f"{spec.table} was written with {state.buckets} buckets")
-    version = state.number + 1
-    parts = {name: list(folders) for name, folders in state.parts.items()}
     rows = keep_newest(batch.select(*spec.column_names), spec.merge_keys, spec.order_by,
                        spec.on_duplicate)
-    # Used three times below; a lost executor's share is computed again from the batch.
-    rows = rows.withColumn(BUCKET, _bucket_of(spec)).persist()
-    try:
-        touched = _buckets_in(rows)
-        if touched:
-            rewritten = _buckets_to_rewrite(table, parts, rows, touched, spec)
-            result = rows
-            if rewritten:
-                old = table.read(spec.table_schema, sorted(rewritten))
-                result = upsert(old.withColumn(BUCKET, _bucket_of(spec)), rows, spec.merge_keys)
-            # Files of even size per bucket: large buckets are split, small ones share a task.
-            folders = [F.col(BUCKET), *[F.col(f"`{c}`") for c in spec.partition_by]]
-            (
-                result.hint("rebalance", *folders)
-                .write.mode("overwrite").partitionBy(BUCKET, *spec.partition_by)
-                .parquet(table.folder(version))
-            )
-            for b in touched:
-                kept = [] if b in rewritten else parts.get(b, [])
-                parts[b] = [*kept, f"{version_folder(version)}/{BUCKET}={b}"]
-        table.commit(Commit(version, parts, {**state.applied, stream: number}, spec.buckets))
-    finally:
-        rows.unpersist()
-
-
-def _buckets_in(rows: DataFrame) -> set[str]:
-    return {str(r[0]) for r in rows.select(BUCKET).distinct().collect()}  # <= spec.buckets
-
-
-def _buckets_to_rewrite(table: VersionedTable, parts: dict[str, list[str]], rows: DataFrame,
-                        touched: set[str], spec: StreamSpec) -> set[str]:
-    """Of the buckets that ``rows`` fall in, those with a row to replace or too many folders.
-
-    Only the key columns of the table are read, and not shuffled while the batch is small
-    enough to be broadcast.
-    """
-    full = {b for b in touched if len(parts.get(b, [])) >= MAX_FOLDERS}
-    open_ones = sorted(b for b in touched - full if b in parts)
-    if not open_ones:
-        return full
-    keys = list(spec.merge_keys)
-    incoming = rows.filter(~any_null(keys)).select(*keys)
-    matched = table.read(spec.table_schema, open_ones).select(*keys).join(
-        incoming, keys, "left_semi")
-    return full | _buckets_in(matched.select(_bucket(_hash_of(keys), spec)))
+    _add(_clustered(rows, spec.partition_by, spec), spec, layout, stream, number)
 
 
 def append_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
                  number: int) -> None:
-    """Write the declared columns of ``batch`` to a folder of its own, which a replay of the
-    batch overwrites.
-
-    With ``cluster_by`` the files hold ranges of these columns, so that a lookup skips most of
-    them by their statistics. The hash lets one value with many rows span several files.
-    """
-    rows = batch.select(*spec.column_names)
-    if spec.cluster_by:
-        near = [F.col(f"`{c}`") for c in spec.cluster_by]
-        spread = F.xxhash64(*[F.col(f"`{c}`") for c in spec.column_names])
-        rows = rows.repartitionByRange(*near, spread).sortWithinPartitions(*near)
-    (
-        rows.write.mode("overwrite").partitionBy(*spec.partition_by)
-        .parquet(f"{layout.silver(spec.table)}/_batch={stream}-{number}")
-    )
+    """Add the declared columns of ``batch``, clustered by ``partition_by`` and ``cluster_by``."""
+    near = list(dict.fromkeys([*spec.partition_by, *spec.cluster_by]))
+    _add(_clustered(batch.select(*spec.column_names), near, spec), spec, layout, stream, number)
 
 
 def read_silver(spark: SparkSession, spec: StreamSpec, layout: Layout) -> DataFrame:
-    path = layout.silver(spec.table)
-    if spec.method == MERGE:
-        return VersionedTable(spark, path).read(spec.table_schema)
-    return spark.read.schema(spec.table_schema).parquet(path).select(*spec.column_names)
+    """The rows of all whole batches; of a merge table the last batch's row of every key, and all
+    rows with a NULL in a key, which match nothing."""
+    table = VersionedTable(spark, layout.silver(spec.table))
+    state = table.current()
+    if spec.method != MERGE:
+        return table.read(spec.table_schema)
+    base = table.read(spec.table_schema, [BASE])
+    added = [part for part in state.parts if part != BASE]
+    if not added:
+        return base
+    keys = list(spec.merge_keys)
+    batches = table.read(spec.table_schema, added, version=len(added) > 1)
+    if len(added) > 1:
+        batches = keep_newest(batches, keys, [VERSION]).drop(VERSION)
+    return upsert(base, batches, keys) if BASE in state.parts else batches
+
+
+def compact_silver(spark: SparkSession, spec: StreamSpec, layout: Layout) -> None:
+    """Write what readers see as one folder. Run it when reading many batches costs more than
+    writing the table once, and not while a batch is being added; vacuum afterwards."""
+    table = VersionedTable(spark, layout.silver(spec.table))
+    near = list(dict.fromkeys([*spec.partition_by, *spec.cluster_by]))
+    table.replace(_clustered(read_silver(spark, spec, layout), near, spec), part=BASE)
 
 
 def start_silver(spark: SparkSession, spec: StreamSpec, layout: Layout,
@@ -150,6 +110,4 @@ def start_silver(spark: SparkSession, spec: StreamSpec, layout: Layout,
 def vacuum_silver(spark: SparkSession, spec: StreamSpec, layout: Layout,
                   keep: int = 2) -> list[str]:
     """Drop row folders that only states older than the last ``keep`` use."""
-    if spec.method != MERGE:
-        return []
     return VersionedTable(spark, layout.silver(spec.table)).vacuum(keep)

@@ -30,7 +30,6 @@ class Commit:
     number: int
     parts: dict[str, list[str]] = field(default_factory=dict)  # name of a part -> its folders
     applied: dict[str, int] = field(default_factory=dict)  # stream id -> its last batch
-    buckets: int = 0
 
     def folders(self) -> list[str]:
         return [folder for folders in self.parts.values() for folder in folders]
@@ -65,9 +64,10 @@ class VersionedTable:
     def folder(self, number: int) -> str:
         return f"{self.path}/{version_folder(number)}"
 
-    def read(self, schema: T.StructType | None = None,
-             parts: Iterable[str] | None = None) -> DataFrame:
-        """The current rows, or those of some parts. An empty table needs ``schema``."""
+    def read(self, schema: T.StructType | None = None, parts: Iterable[str] | None = None,
+             version: bool = False) -> DataFrame:
+        """The current rows, or those of some parts; with ``version`` also the number of the
+        commit that added each. An empty table needs ``schema``."""
         current = self.current()
         names = current.parts if parts is None else [p for p in parts if p in current.parts]
         folders = [f"{self.path}/{folder}" for name in names for folder in current.parts[name]]
@@ -78,14 +78,15 @@ class VersionedTable:
         reader = self.spark.read.option("basePath", self.path)
         if schema is None:
             return reader.parquet(*folders).drop(VERSION)
-        return reader.schema(schema).parquet(*folders).select(*schema.names)
+        more = [VERSION] if version else []
+        return reader.schema(schema).parquet(*folders).select(*schema.names, *more)
 
-    def replace(self, df: DataFrame) -> str:
-        """Make ``df`` the whole table; returns its folder."""
+    def replace(self, df: DataFrame, part: str = "all") -> str:
+        """Make ``df`` the whole table, as one part; returns its folder."""
         last = self.current()
         number = last.number + 1
         df.write.mode("overwrite").parquet(self.folder(number))
-        self.commit(Commit(number, {"all": [version_folder(number)]}))
+        self.commit(Commit(number, {part: [version_folder(number)]}, last.applied))
         return self.folder(number)
 
     def vacuum(self, keep: int = 2) -> list[str]:

@@ -1,7 +1,6 @@
 """From CSV files of the hospital tables to published documents, with the preset definitions."""
 
 import json
-from dataclasses import replace
 
 from conftest import rows
 
@@ -31,7 +30,7 @@ FILES = {
 
 def test_files_to_documents(spark, layout, tmp_path):
     streams = [
-        replace(s, buckets=2) for s in hospital_streams(str(tmp_path / "incoming"))
+        s for s in hospital_streams(str(tmp_path / "incoming"))
         if s.table in FILES
     ]
     for spec in streams:

@@ -18,7 +18,6 @@ from medallion.operators import (
     conditional_distribution,
     keep_newest,
     latest_per_key,
-    lookup_join,
     top_k,
     top_n_per_group,
     upsert,
@@ -126,16 +125,6 @@ def test_conditional_distribution_does_not_list_the_pairs_of_a_hot_value(spark):
     assert rows(result) == [(c, n * n // 4, 0.25) for c in range(4)]
 
 
-def test_lookup_join_within_and_past_the_bound(spark):
-    big = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
-    small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    near = lookup_join(big, small, ["k"], "left")
-    far = lookup_join(big, small, ["k"], "left", max_rows=2)
-    assert "ResolvedHint" in near._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in far._jdf.queryExecution().analyzed().toString()
-    assert rows(near) == rows(far) and near.count() == 100
-
-
 SCHEMA = "k int, seq int, v string"
 
 

@@ -19,7 +19,6 @@ def test_columns_from_text():
     lambda: StreamSpec("t", columns("id integer"), method="DELETE"),
     lambda: StreamSpec("t", columns("id integer"), partition_by=("x",)),
     lambda: StreamSpec("t", columns("id integer"), bronze_folder="silver"),
-    lambda: StreamSpec("t", columns("id integer"), buckets=0),
 ])
 def test_bad_definitions_are_refused(make):
     with pytest.raises(ValueError):

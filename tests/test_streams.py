@@ -1,5 +1,7 @@
 """Files -> bronze -> silver, in arrivals, after restarts and replays."""
 
+import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -38,7 +40,7 @@ def _spec(tmp_path, **settings):
 
 def _merge_spec(tmp_path, **settings):
     return _spec(tmp_path, **{"method": MERGE, "merge_keys": ("id",), "order_by": ("at",),
-                              "buckets": 4, **settings})
+                              **settings})
 
 
 def _deliver(tmp_path, name, lines):
@@ -107,6 +109,17 @@ def test_merge_holds_the_newest_row_for_any_number_of_arrivals(spark, layout, tm
     assert _kinds(spark, spec, layout) == [(i, f"k{21 + i}") for i in range(7)]
 
 
+def test_a_late_file_is_not_skipped(spark, layout, tmp_path):
+    spec = _merge_spec(tmp_path)
+    _deliver(tmp_path, "a", [_line(1, 0)])
+    run_available(spark, spec, layout)
+    _deliver(tmp_path, "b", [_line(2, 0)])
+    month_ago = time.time() - 30 * 86_400
+    os.utime(tmp_path / "in" / "b.csv", (month_ago, month_ago))
+    run_available(spark, spec, layout)
+    assert [i for i, _ in _kinds(spark, spec, layout)] == [1, 2]
+
+
 def test_between_batches_the_last_one_wins(spark, layout, tmp_path):
     spec = _merge_spec(tmp_path)
     for minutes in (30, 20, 10):
@@ -149,33 +162,44 @@ def test_a_batch_that_died_is_written_again(spark, layout, tmp_path, monkeypatch
     assert _kinds(spark, spec, layout) == [(1, "b"), (2, "b")]
 
 
-def test_only_touched_buckets_are_rewritten(spark, layout, tmp_path):
-    spec = _merge_spec(tmp_path, buckets=16)
+def test_a_batch_writes_only_its_rows(spark, layout, tmp_path):
+    spec = _merge_spec(tmp_path)
     merge_batch(_batch(spark, spec, [(i, 0, "a") for i in range(200)]), spec, layout, "q", 0)
     table = VersionedTable(spark, layout.silver("t"))
     before = table.current().parts
-    merge_batch(_batch(spark, spec, [(5, 1, "b")]), spec, layout, "q", 1)
+    merge_batch(_batch(spark, spec, [(5, 1, "b"), (200, 1, "b")]), spec, layout, "q", 1)
     after = table.current().parts
-    assert len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
-    assert all(len(folders) == 1 for folders in after.values())
-    assert read_silver(spark, spec, layout).count() == 200
+    added, = [folders for part, folders in after.items() if part not in before]
+    assert {part: after[part] for part in before} == before
+    assert spark.read.parquet(f"{table.path}/{added[0]}").count() == 2
+    assert read_silver(spark, spec, layout).count() == 201
 
 
-def test_new_keys_are_added_without_a_rewrite_until_there_are_many_folders(
-        spark, layout, tmp_path, monkeypatch):
-    monkeypatch.setattr(silver, "MAX_FOLDERS", 3)
-    spec = _merge_spec(tmp_path, buckets=1)
-    table = VersionedTable(spark, layout.silver("t"))
-    folders = []
-    for number in range(6):
-        merge_batch(_batch(spark, spec, [(number, 0, "a"), (None, number, "n")]), spec, layout,
-                    "q", number)
-        folders.append(len(table.current().parts["0"]))
-    assert folders == [1, 2, 3, 1, 2, 3]
-    merge_batch(_batch(spark, spec, [(2, 1, "b")]), spec, layout, "q", 6)
-    assert len(table.current().parts["0"]) == 1
-    assert _kinds(spark, spec, layout) == [(None, "n")] * 6 + [
-        (i, "b" if i == 2 else "a") for i in range(6)]
+def test_compaction_keeps_rows_and_applied_batches(spark, layout, tmp_path):
+    spec = _merge_spec(tmp_path)
+    for number in range(4):
+        merge_batch(_batch(spark, spec, [(number, 0, "a"), (0, number, f"k{number}"),
+                                         (None, number, "n")]), spec, layout, "q", number)
+    expected = _kinds(spark, spec, layout)
+    silver.compact_silver(spark, spec, layout)
+    assert list(VersionedTable(spark, layout.silver("t")).current().parts) == [silver.BASE]
+    merge_batch(_batch(spark, spec, [(9, 0, "replay")]), spec, layout, "q", 3)
+    assert _kinds(spark, spec, layout) == expected
+    merge_batch(_batch(spark, spec, [(1, 5, "z"), (None, 9, "n")]), spec, layout, "q", 4)
+    assert _kinds(spark, spec, layout) == sorted(
+        [(i, "z" if i == 1 else k) for i, k in expected] + [(None, "n")],
+        key=lambda r: tuple((v is not None, v) for v in r))
+
+
+@pytest.mark.parametrize("keys", [("id",), ("id", "kind")])
+def test_empty_partition_values_lose_no_row(spark, layout, tmp_path, keys):
+    spec = _merge_spec(tmp_path, partition_by=("kind",), merge_keys=keys)
+    data = [(i, 0, "") for i in range(24)] + [(None, i, "") for i in range(24)]
+    merge_batch(_batch(spark, spec, data), spec, layout, "q", 0)
+    for number in range(8):
+        merge_batch(_batch(spark, spec, [(number, 1, "")]), spec, layout, "q", number + 1)
+        assert read_silver(spark, spec, layout).count() == 48
+    assert read_silver(spark, spec, layout).filter("kind = ''").count() == 48
 
 
 def test_clustered_files_hold_ranges(spark, layout, tmp_path):
@@ -204,12 +228,11 @@ def test_a_key_may_move_to_another_partition(spark, layout, tmp_path):
 
 
 def test_null_keys_are_added_and_spread(spark, layout, tmp_path):
-    spec = _merge_spec(tmp_path, buckets=8)
+    spec = _merge_spec(tmp_path)
     data = [(None, m, "n") for m in range(100)]
     merge_batch(_batch(spark, spec, data), spec, layout, "q", 0)
     merge_batch(_batch(spark, spec, [(None, 0, "n"), (1, 0, "a")]), spec, layout, "q", 1)
     assert read_silver(spark, spec, layout).count() == 102
-    assert len(VersionedTable(spark, layout.silver("t")).current().parts) == 8
 
 
 def test_empty_batch_and_vacuum(spark, layout, tmp_path):
@@ -220,21 +243,14 @@ def test_empty_batch_and_vacuum(spark, layout, tmp_path):
     merge_batch(_batch(spark, spec, [(1, 0, "x")]).limit(0), spec, layout, "q", 4)
     expected = [(i, "k3") for i in range(20)]
     assert _kinds(spark, spec, layout) == expected
-    assert len(vacuum_silver(spark, spec, layout, keep=2)) == 12
-    assert vacuum_silver(spark, spec, layout, keep=2) == []
+    silver.compact_silver(spark, spec, layout)
+    assert len(vacuum_silver(spark, spec, layout, keep=1)) == 5
+    assert vacuum_silver(spark, spec, layout, keep=1) == []
     assert _kinds(spark, spec, layout) == expected
     merge_batch(_batch(spark, spec, [(0, 9, "z")]), spec, layout, "q", 5)
     assert _kinds(spark, spec, layout) == [(0, "z"), *expected[1:]]
 
 
-def test_the_number_of_buckets_is_fixed(spark, layout, tmp_path):
-    merge_batch(_batch(spark, _merge_spec(tmp_path), [(1, 0, "a")]), _merge_spec(tmp_path), layout,
-                "q", 0)
-    changed = _merge_spec(tmp_path, buckets=5)
-    with pytest.raises(ValueError):
-        merge_batch(_batch(spark, changed, [(1, 0, "a")]), changed, layout, "q", 1)
-
-
 def test_merge_is_idempotent_and_disjoint_keys_unite(spark, layout, tmp_path):
     spec = _merge_spec(tmp_path)
     batch = [(i, 0, "a") for i in range(10)]
