@@ -26,6 +26,9 @@ CAPACITY = 2048
 END = 1  # id that ends a document
 CACHED_WORDS = 500_000  # words whose ids a task remembers before it starts afresh
 
+# Marks that the tokenizer always parts from the letters before them.
+_MARKS = ".,;:!?*$&%#|()/-"
+
 # Characters that str.split takes for white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -40,7 +43,8 @@ class WordIds(dict):
     """Ids of a word as little-endian unsigned 32-bit bytes; forgets all when it is full.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words'
-    ids one after the other.
+    ids one after the other. It lower-cases, and parts marks from letters, so a word of Latin-1
+    letters has the ids of its lower-case form and those of the marks that follow it.
     """
 
     def __init__(self, path: str):
@@ -48,15 +52,27 @@ class WordIds(dict):
 
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
+        self._merged = self._tokenizer.model.tokenize
 
     def encode(self, text: str) -> bytes:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha() and max(letters) < "\u0100":
+            low = letters.lower()
+            if low == word and not low.isascii():
+                ids = self.encode(word)
+            elif low == word:
+                ids = np.asarray([t.id for t in self._merged(word)], dtype="<u4").tobytes()
+            else:
+                ids = self[low] + (self[word[len(letters):]] if letters != word else b"")
+        else:
+            ids = self.encode(word)
         if len(self) >= CACHED_WORDS:
             self.clear()
-        self[word] = ids = self.encode(word)
+        self[word] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:
