@@ -90,12 +90,12 @@ def _oracle(name: str, sql: str) -> None:
 
 
 _oracle("age_band_counts", """
-SELECT CASE WHEN age < 2 THEN 'Infancy' WHEN age < 6 THEN 'Early Childhood'
-            WHEN age < 12 THEN 'Later Childhood' WHEN age < 20 THEN 'Adolescence'
-            WHEN age < 40 THEN 'Young adult' WHEN age < 60 THEN 'Middle-aged'
-            ELSE 'Senior Citizen' END AS period, count(*) AS num
-FROM (SELECT extract(day FROM dod - dob) / 365 AS age FROM d_patients)
-GROUP BY 1 ORDER BY num DESC, period""")
+SELECT coalesce(b.name, 'Senior Citizen') AS period, count(*) AS num
+FROM (SELECT extract(day FROM dod - dob) / 365 AS years FROM d_patients) p
+LEFT JOIN (VALUES (-1e9, 2, 'Infancy'), (2, 6, 'Early Childhood'), (6, 12, 'Later Childhood'),
+                  (12, 20, 'Adolescence'), (20, 40, 'Young adult'), (40, 60, 'Middle-aged')
+          ) b(low, high, name) ON p.years >= b.low AND p.years < b.high
+GROUP BY ALL ORDER BY num DESC, period""")
 
 _oracle("admissions_deaths_by_year", f"""
 SELECT a.year AS year, a.num AS num, d.num AS "numDied"
@@ -109,10 +109,10 @@ ORDER BY 1""")
 BY_MONTH = """
 SELECT row_number() OVER (PARTITION BY month ORDER BY num DESC, itemid, description)
          AS "ROW_NUMBER", itemid, description, month, num
-FROM (SELECT drgevents.itemid, description, month(admit_dt) AS month, count(*) AS num
-      FROM drgevents JOIN d_codeditems ON drgevents.itemid = d_codeditems.itemid
-      JOIN admissions ON admissions.hadm_id = drgevents.hadm_id
-      GROUP BY 1, 2, 3)"""
+FROM (SELECT i.itemid, i.description, c.month, CAST(sum(c.n) AS BIGINT) AS num
+      FROM (SELECT e.itemid, month(a.admit_dt) AS month, count(*) AS n
+            FROM admissions a JOIN drgevents e USING (hadm_id) GROUP BY ALL) c
+      JOIN d_codeditems i ON i.itemid = c.itemid GROUP BY ALL)"""
 
 _oracle("top5_diseases_by_month", f"""
 SELECT * FROM ({BY_MONTH}) WHERE "ROW_NUMBER" < 6""")
@@ -121,11 +121,11 @@ _oracle("top20_diseases_by_month", f"""
 SELECT itemid, description, month, num AS "numCases" FROM ({BY_MONTH}) WHERE "ROW_NUMBER" < 21""")
 
 _oracle("stay_days_by_disease", """
-SELECT itemid, description, avg(stay_days) AS value
-FROM (SELECT extract(day FROM disch_dt - admit_dt) AS stay_days, description, drgevents.itemid
-      FROM drgevents JOIN admissions ON drgevents.hadm_id = admissions.hadm_id
-      JOIN d_codeditems ON d_codeditems.itemid = drgevents.itemid)
-GROUP BY 1, 2 ORDER BY value DESC NULLS LAST, itemid, description LIMIT 20""")
+SELECT i.itemid, i.description, avg(s.days) AS value
+FROM d_codeditems i JOIN drgevents e ON e.itemid = i.itemid
+JOIN (SELECT hadm_id, extract(day FROM disch_dt - admit_dt) AS days FROM admissions) s
+  ON s.hadm_id = e.hadm_id
+GROUP BY ALL ORDER BY value DESC NULLS LAST, 1, 2 LIMIT 20""")
 
 _oracle("top20_common_diseases", """
 SELECT itemid, description, value
@@ -194,10 +194,10 @@ FROM (SELECT subject_id, seen, source, row_number() OVER (
 WHERE rn = 1""")
 
 _oracle("saved_query_gold", """
-SELECT drgevents.itemid, type, year(admit_dt) AS year, count(*) AS num, sum(cost_weight) AS weight
-FROM drgevents JOIN d_codeditems ON drgevents.itemid = d_codeditems.itemid
-JOIN admissions ON admissions.hadm_id = drgevents.hadm_id
-GROUP BY 1, 2, 3""")
+SELECT p.sex, i.type, count(*) AS num, max(e.cost_weight) AS heaviest
+FROM d_patients p JOIN admissions a ON a.subject_id = p.subject_id
+JOIN drgevents e ON e.hadm_id = a.hadm_id JOIN d_codeditems i ON i.itemid = e.itemid
+GROUP BY ALL""")
 
 _oracle("adhoc_sql", """
 SELECT d_patients.subject_id AS subject_id, sex, count(*) AS num, max(admit_dt) AS last_admit_dt
