@@ -215,11 +215,49 @@ _oracle("cached_rows_by_month", f"""
 SELECT itemid, description, month, num AS "numCases" FROM ({BY_MONTH})
 WHERE "ROW_NUMBER" < 21 AND month IN ({", ".join(map(str, flows.MONTHS))})""")
 
+# Fields of the documents, in order; texts are marked with *.
+FIELDS = {
+    "age_band_counts": "*period num",
+    "admissions_deaths_by_year": "year num numDied",
+    "top5_diseases_by_month": "ROW_NUMBER itemid *description month num",
+    "stay_days_by_disease": "itemid *description value",
+    "top20_common_diseases": "itemid *description value",
+    "admission_state_mortality": "*state total_patients total_died_patients ratio",
+    "patients_by_sex": "*sex numCases",
+    "hospital_death_ratio": "TotalPatients TotalDeathInHospital ratioOfDeathInHospital",
+    "disease_mortality_ratio": "itemid *type *description ratioDied",
+    "top20_diseases_by_month": "itemid *description month numCases",
+}
+
+
+def _documents(key: str) -> str:
+    """The rows of an analysis as JSON documents: the fields that are not NULL, in order."""
+    fields = ", ".join(
+        f"'\"{name.lstrip('*')}\":' || " + (
+            f'CAST(to_json("{name[1:]}") AS VARCHAR)' if name[0] == "*" else f'"{name}"')
+        for name in FIELDS[key].split())
+    return f"SELECT '{key}' AS key, '{{' || concat_ws(',', {fields}) || '}}' AS row"
+
+
 for _name, _keys in (("refresh_subset", flows.SUBSET),
                      ("refresh_all", list(analyses.GOLD_ANALYSES))):
     ORACLE_SQL[_name] = "\nUNION ALL\n".join(
-        f"SELECT '{key}' AS key, count(*) AS documents FROM ({ORACLE_SQL[key]})"
-        for key in _keys)
+        f"{_documents(key)} FROM ({ORACLE_SQL[key]})" for key in _keys)
+
+_oracle("answer_documents", """
+SELECT '{"admission_type_descr":"' || admission_type_descr || '","patients":'
+       || count(DISTINCT subject_id) || '}' AS row, TRUE AS timed
+FROM demographic_detail GROUP BY admission_type_descr""")
+
+ORACLE_SQL["silver_top5"] = ORACLE_SQL["top5_diseases_by_month"]
+
+# A fifth of each outcome is the test part; a model that learnt beats the base rate.
+_oracle("classifier_eval", """
+SELECT CAST(sum(test) AS BIGINT) AS n_rows,
+       CAST(sum(test) FILTER (outcome) AS BIGINT) AS n_positive, TRUE AS beats_base_rate
+FROM (SELECT (value >= 110) <> (event_id * 7919 % 40 = 0) AS outcome,
+             floor(CAST(0.2 AS DOUBLE) * count(*) + 0.5) AS test
+      FROM events GROUP BY 1)""")
 
 
 _oracle("decode_payload", """

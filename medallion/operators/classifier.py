@@ -78,14 +78,16 @@ def decide(scored: DataFrame, identity: str, output: str, threshold: float = THR
 
 
 def evaluate(scored: DataFrame, label: str, threshold: float = 0.5) -> DataFrame:
-    """One row: rows, accuracy at ``threshold``, and the area under the precision-recall curve,
-    which accuracy on imbalanced classes does not show."""
+    """One row: rows, those of class 1, accuracy at ``threshold``, and the area under the
+    precision-recall curve, which accuracy on imbalanced classes does not show."""
     area = BinaryClassificationEvaluator(
         rawPredictionCol="score", labelCol="_label", metricName="areaUnderPR",
+        numBins=0,  # exact: a point per distinct score
     ).evaluate(scored.select("score", F.col(label).cast("double").alias("_label")))
     hit = (F.col("score") >= threshold).cast("int") == F.col(label).cast("int")
     return scored.agg(
         F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col(label) == 1).alias("n_positive"),
         F.avg(hit.cast("double")).alias("accuracy"),
         F.lit(float(area)).alias("area_under_pr"),
     )

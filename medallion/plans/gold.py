@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import work_folder
+from ..files import Files
+from ..session import apart, work_folder
 from ..spec import Layout, SavedQuery, StreamSpec, by_table
 from ..streaming.silver import read_silver
 from ..versions import VersionedTable
@@ -34,28 +35,43 @@ class SilverTables:
     def names(self) -> list[str]:
         return list(self.specs)
 
+    def on(self, spark: SparkSession) -> SilverTables:
+        """The same tables, read by another session."""
+        return SilverTables(spark, self.layout, self.specs.values())
 
-def register_views(spark: SparkSession, tables, sql: str) -> None:
-    """Make the tables that ``sql`` may name known under their bare names.
 
-    The others are left alone: finding the files of a large table takes time too.
+def with_views(spark: SparkSession, tables, sql: str) -> SparkSession:
+    """A session of its own in which the tables that ``sql`` may name have their bare names.
+
+    Statements of several projects may run at once, and views of the caller stay as they are.
+    The other tables are left alone: finding the files of a large table takes time too.
     """
     words = {word.lower() for word in re.findall(r"\w+", sql)}
+    own = apart(spark)
+    theirs = tables.on(own)
     for name in tables.names():
         if name.lower() in words:
-            tables(name).createOrReplaceTempView(name)
+            theirs(name).createOrReplaceTempView(name)
+    return own
 
 
 def run_sql(spark: SparkSession, tables, sql: str, args: Mapping | None = None) -> DataFrame:
-    """A user's SQL over the tables of a project; values go into ``args``, not into the text."""
-    register_views(spark, tables, sql)
-    return spark.sql(sql, args=dict(args) if args else None)
+    """A user's SQL over the tables of a project; values go into ``args``, not into the text.
+
+    It sees the project's tables and no view of the caller's session.
+    """
+    return with_views(spark, tables, sql).sql(sql, args=dict(args) if args else None)
 
 
 @dataclass(frozen=True)
 class Answer:
     rows: DataFrame  # one JSON document per row
     seconds: float
+    path: str
+
+    def discard(self) -> None:
+        """Delete the documents, when the caller has read them."""
+        Files(self.rows.sparkSession).delete(self.path)
 
 
 def answer(spark: SparkSession, tables, sql: str, args: Mapping | None = None) -> Answer:
@@ -66,13 +82,13 @@ def answer(spark: SparkSession, tables, sql: str, args: Mapping | None = None) -
     began = time.monotonic()
     path = work_folder(spark, "answer")
     serving.json_rows(run_sql(spark, tables, sql, args)).write.parquet(path)
-    return Answer(spark.read.schema(serving.ROW).parquet(path), time.monotonic() - began)
+    return Answer(spark.read.schema(serving.ROW).parquet(path), time.monotonic() - began, path)
 
 
 def describe(spark: SparkSession, tables, name: str) -> DataFrame:
     """Columns of a table as rows: col_name, data_type, comment."""
-    tables(name).createOrReplaceTempView(name)
-    return spark.sql(f"DESCRIBE TABLE `{name}`").select("col_name", "data_type", "comment")
+    own = with_views(spark, tables, name)
+    return own.sql(f"DESCRIBE TABLE `{name}`").select("col_name", "data_type", "comment")
 
 
 @dataclass(frozen=True)
@@ -116,6 +132,9 @@ class _WithStored:
     def names(self) -> list[str]:
         return self._tables.names()
 
+    def on(self, spark: SparkSession) -> _WithStored:
+        return _WithStored(self._tables.on(spark), self.stored)
+
 
 class Registry:
     """The saved queries and analyses of a project; each key has one current definition.

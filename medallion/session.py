@@ -25,12 +25,22 @@ RUNTIME_CONF = {
 
 
 def apply_runtime_conf(spark: SparkSession) -> SparkSession:
+    """Give ``spark`` the settings above, for good: the caller's session is the one that runs."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
 
 
+def apart(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and views of its own, on the same cluster."""
+    child = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            child.conf.set(key, value)
+    return child
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "medallion", **conf: str) -> SparkSession:
     """A single-machine session for tests and the benchmark.
@@ -54,8 +64,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 @functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="medallion-")
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """Goes when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="medallion-", ignore_cleanup_errors=True)
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
@@ -68,5 +79,5 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = _local_folder()
+        root = _local_folder().name
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -96,3 +96,7 @@ class MedicalTables:
 
     def names(self) -> list[str]:
         return list(TABLES)
+
+    def on(self, spark: SparkSession) -> MedicalTables:
+        """The same tables, read by another session."""
+        return MedicalTables(spark, self.folder)

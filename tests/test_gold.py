@@ -68,14 +68,45 @@ def test_only_named_tables_become_views(spark, tables):
     class Watched:
         names = staticmethod(tables.names)
 
+        def on(self, session):
+            self.inner = tables.on(session)
+            return self
+
         def __call__(self, name, *columns):
             asked.append(name)
-            return tables(name, *columns)
+            return self.inner(name, *columns)
 
     df = gold.run_sql(spark, Watched(), "SELECT count(*) FROM Admissions\nWHERE hadm_id > 0")
     assert rows(df) == [(2,)] and asked == ["admissions"]
 
 
+def test_a_statement_leaves_the_callers_views_alone(spark, tables):
+    spark.range(3).createOrReplaceTempView("d_patients")
+    try:
+        assert gold.run_sql(spark, tables, "select sex from d_patients").count() == 2
+        gold.describe(spark, tables, "d_patients")
+        assert spark.table("d_patients").columns == ["id"]
+    finally:
+        spark.catalog.dropTempView("d_patients")
+
+
+def test_projects_that_run_at_once_read_their_own_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from medallion.sources import MedicalTables
+
+    folders = [f"/root/testdata/{sf}" for sf in ("sf0.001", "sf0.01")]
+    sql = "select count(*) from d_patients"
+
+    def counts(folder):
+        return {gold.run_sql(spark, MedicalTables(spark, folder), sql).first()[0]
+                for _ in range(25)}
+
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(counts, folders * 2))
+    assert found == [{150}, {1500}] * 2
+
+
 def test_describe(spark, tables):
     assert [tuple(r) for r in gold.describe(spark, tables, "d_patients").collect()] == [
         ("subject_id", "int", None), ("sex", "string", None), ("dob", "timestamp", None),
@@ -166,6 +197,9 @@ def test_answer_holds_documents_and_time(spark, tables):
     result = gold.answer(spark, tables, "select hadm_id, subject_id from admissions where hadm_id = :h",
                          {"h": 10})
     assert rows(result.rows) == [('{"hadm_id":10,"subject_id":1}',)] and result.seconds > 0
+    result.discard()
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(result.path)
     nothing = gold.answer(spark, tables, "select hadm_id from admissions where hadm_id < 0")
     assert rows(nothing.rows) == []
 

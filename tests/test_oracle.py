@@ -10,7 +10,7 @@ import __spark_entry__ as contract
 from medallion.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
-ROWS_ONLY = {"classifier_eval"}
+ROWS_ONLY = {"model_scoring"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
 
@@ -32,7 +32,7 @@ def _sorted(rows, positions):
     return sorted(tuple(_plain(r[p]) for p in positions) for r in rows)
 
 
-def test_only_training_has_no_oracle():
+def test_only_decisions_of_a_model_have_no_oracle():
     assert set(QUERIES) - set(contract.oracle_sql()) == ROWS_ONLY
     assert set(QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
@@ -51,10 +51,16 @@ def test_query_equals_oracle(spark, database, name):
     assert spark.streams.active == []
 
 
-def test_rows_only_queries(spark):
-    for name in ROWS_ONLY:
-        row = contract.queries()[name](spark, FOLDER).first()
-        assert row.n_rows == 100 and 0 <= row.accuracy <= 1 and 0 <= row.area_under_pr <= 1
+def test_decisions_of_a_model_follow_the_outcome(spark, database):
+    decided = dict(contract.queries()["model_scoring"](spark, FOLDER).collect())
+    truth = dict(database.sql("""
+        SELECT event_id, CAST((value >= 110) <> (event_id * 7919 % 40 = 0) AS INT) FROM events
+        """).fetchall())
+    assert 0.19 < len(decided) / len(truth) < 0.21
+    positive = [i for i in decided if truth[i]]
+    found = sum(decided[i] for i in positive) / len(positive)
+    false = sum(decided[i] for i in decided if not truth[i]) / (len(decided) - len(positive))
+    assert found > 0.6 and false < 0.25
 
 
 def test_entry(spark):
