@@ -241,9 +241,10 @@ def _trained(spark: SparkSession, folder: str) -> tuple[PipelineModel, DataFrame
     """A model that was saved and loaded again, and the test part it has not seen."""
     rows = _encounters(spark, folder)
     names = classifier.feature_columns(rows.columns, "encounter_id", OUTCOME)
-    parts = split_by_class(
-        classifier.with_features(rows, names, ["encounter_id", OUTCOME]),
-        "encounter_id", OUTCOME)
+    split = work_folder(spark, "split")  # read several times, and once more for every score
+    split_by_class(classifier.with_features(rows, names, ["encounter_id", OUTCOME]),
+                   "encounter_id", OUTCOME).write.parquet(split)
+    parts = spark.read.parquet(split)
     training = classifier.rebalance_classes(
         parts.filter("part = 'train'").drop("part"), "encounter_id", OUTCOME)
     path = work_folder(spark, "model")
