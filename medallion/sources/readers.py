@@ -42,7 +42,8 @@ def stream_source(spark: SparkSession, spec: StreamSpec) -> DataFrame:
     """The unbounded source of ``spec``; the URL scheme of its path chooses the file system.
 
     File formats are read with the declared schema. Any other format is taken as a message
-    source (its connector must be on the class path) whose ``value`` holds the row.
+    source (its connector must be on the class path) whose ``value`` holds the row; columns of
+    the message itself are taken along if ``message_columns`` names them.
     """
     reader = spark.readStream.format(spec.source_format)
     if spec.source_format in FILE_FORMATS:
@@ -51,5 +52,8 @@ def stream_source(spark: SparkSession, spec: StreamSpec) -> DataFrame:
                 .schema(spec.source_schema).load(spec.source_path))
     reader = reader.options(**spec.source_options)
     messages = reader.load(spec.source_path) if spec.source_path else reader.load()
-    return decode_payload(messages.select("value"), spec.source_schema,
-                          payload_format=spec.payload_format)
+    own = spec.message_columns
+    payload = T.StructType([f for f in spec.source_schema if f.name not in own])
+    rows = messages.select(*own, F.col("value").alias("_value"))
+    decoded = decode_payload(rows, payload, "_value", spec.payload_format)
+    return decoded.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in spec.source_schema])

@@ -65,6 +65,8 @@ class StreamSpec:
     source_format: str = "csv"
     source_options: Mapping[str, str] = field(default_factory=dict)
     payload_format: str = "json"  # of the `value` column of a message source
+    # Declared columns that are the message's own (key, topic, offset, ...), not its payload's.
+    message_columns: tuple[str, ...] = ()
     bronze_folder: str = "bronze"
     active: bool = True
 
@@ -80,8 +82,8 @@ class StreamSpec:
             raise ValueError(f"{self.table}: a merge needs keys")
         if self.bronze_folder in ("silver", "gold", "cache", "checkpoint"):
             raise ValueError(f"{self.table}: {self.bronze_folder} is the name of another layer")
-        unknown = {*self.merge_keys, *self.partition_by, *self.order_by, *self.cluster_by} - {
-            *names, ARRIVAL}
+        unknown = {*self.merge_keys, *self.partition_by, *self.order_by, *self.cluster_by,
+                   *self.message_columns} - {*names, ARRIVAL}
         if unknown:
             raise ValueError(f"{self.table}: unknown columns {sorted(unknown)}")
 

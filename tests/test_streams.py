@@ -304,3 +304,16 @@ def test_start_list_stop_restart(spark, layout, tmp_path):
         stop_all(spark, [spec, idle], layout)
     assert active_queries(spark) == []
     assert read_silver(spark, spec, layout).count() == 1
+
+
+def test_columns_of_a_message_are_taken_along(spark):
+    from medallion.sources import stream_source
+
+    spec = StreamSpec("m", columns("timestamp timestamp, k long"), source_format="rate",
+                      message_columns=("timestamp",))
+    messages = stream_source(spark, spec)
+    assert messages.isStreaming and messages.dtypes == [("timestamp", "timestamp"), ("k", "bigint")]
+    plain = StreamSpec("m", columns("k long, s string"), source_format="rate")
+    assert stream_source(spark, plain).columns == ["k", "s"]
+    with pytest.raises(ValueError):
+        StreamSpec("m", columns("k long"), message_columns=("offset",))
