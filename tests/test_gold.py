@@ -225,3 +225,22 @@ def test_one_failing_key_stops_no_other(spark, layout, tables):
     assert rows(serving.read(spark, layout, "good")) == [('{"n":2}',)]
     with pytest.raises(gold.RefreshError):
         registry.refresh(["unknown"])
+
+
+def test_a_failing_shared_step_stops_only_its_users(spark, layout):
+    from medallion.plans import analyses
+    from medallion.sources import MedicalTables
+
+    class Broken(MedicalTables):
+        def __call__(self, name, *columns):
+            if name == "admissions":
+                raise OSError("unreadable")
+            return super().__call__(name, *columns)
+
+    registry = gold.Registry(spark, Broken(spark, "/root/testdata/sf0.001"), layout,
+                             analyses.GOLD_ANALYSES, analyses.SHARED)
+    users = analyses.SHARED[analyses.item_months]
+    with pytest.raises(gold.RefreshError) as caught:
+        registry.refresh([*users, "patients_by_sex", "patients_by_sex"])
+    assert set(caught.value.errors) == set(users)
+    assert serving.read(spark, layout, "patients_by_sex").count() == 3
