@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by a robust-pruned directed graph.
 
-The vectors are dealt into shards by a hash, each of about ``SHARD`` rows, and every shard gets a
-graph of its own. Points enter in batches that double: each searches the graph so far, greedily
+Equal vectors are one point, which holds its smallest ids. The points are dealt into shards by a
+hash, each of about ``SHARD`` points, and every shard gets a graph of its own. Points enter in batches that double: each searches the graph so far, greedily
 and with a beam, and takes the visited points as candidates. Relaxed pruning keeps the nearest
 candidate, drops those that it is closer to (by the factor ``ALPHA``) than the point itself, and
 goes on, so that few and diverse edges remain. Edges are added in both directions and a list that
 overflows is pruned again. A query searches every shard's graph with a beam; the nearest found are
-measured anew in double precision and merged.
+measured anew in double precision, expanded by their ids and merged.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-SHARD = 4096  # rows of a shard, on average
+SHARD = 4096  # points of a shard, on average
+NEIGHBOURS = 10  # that an index is made for
 DEGREE = 32
 BUILD_BEAM = 48
 QUERY_BEAM = 128
@@ -194,23 +195,35 @@ def _built(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def index(vectors: DataFrame, identity: str = "vec_id", vector: str = "embedding",
-          shard: int = SHARD) -> DataFrame:
-    """(part, vec_id, vector, node, entry, edges): every valid row in its shard's graph.
-
-    Rows with vectors of another length are in graphs of their own. Rows without a valid vector
-    or an id are left out. Repeated rows are points of their own.
+          shard: int = SHARD, k: int = NEIGHBOURS) -> DataFrame:
+    """(part, vec_id, vector, ids, most, node, entry, edges): every point in its shard's graph, for
+    searches of up to ``k`` = ``most`` neighbours.
+
+    Equal vectors are one point. ``ids`` holds its ``k`` + 1 smallest ids in order, one of which
+    may be the query's own, each as often as it has rows, but at most ``k`` times; ``vec_id`` is
+    the smallest. Vectors of another length are in graphs of their own. Rows without a valid
+    vector or an id are left out. A vector's ids are cut in each task before they are shuffled.
     """
-    rows = checkpointed(
+    counted = (
         vectors.select(F.col(identity).alias("vec_id"),
                        F.col(vector).cast("array<double>").alias("vector"))
-        .filter(F.col("vec_id").isNotNull() & valid(F.col("vector"))))
-    parts = max(1, math.ceil(rows.count() / shard))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-                            ).withColumn("length", F.size("vector"))
+        .filter(F.col("vec_id").isNotNull() & valid(F.col("vector")))
+        .groupBy("vector", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n")))
+    rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    least = F.array_sort(F.collect_list(F.struct("vec_id", F.col("n").cast("int").alias("n"))))
+    points = checkpointed(
+        counted.withColumn("rank", rank).filter(F.col("rank") <= k + 1)
+        .groupBy("vector").agg(least.alias("least"))
+        .select("vector", F.flatten(F.transform("least", lambda r: F.array_repeat(
+            r["vec_id"], r["n"]))).alias("ids")))
+    parts = max(1, math.ceil(points.count() / shard))
+    dealt = points.withColumn("part", F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int")
+                              ).withColumn("length", F.size("vector")).withColumn(
+        "vec_id", F.get("ids", F.lit(0))).withColumn("most", F.lit(k))
     return checkpointed(
         dealt.repartition(parts, "part").groupBy("part", "length").applyInPandas(
-            _built, "part int, length int, vec_id long, vector array<double>, node int, "
-                    "entry boolean, edges array<int>"))
+            _built, "part int, length int, vec_id long, vector array<double>, ids array<long>, "
+                    "most int, node int, entry boolean, edges array<int>"))
 
 
 def _found(k: int, beam: int):
@@ -220,7 +233,9 @@ def _found(k: int, beam: int):
         if not len(points) or not len(asked):
             return empty
         points = points.sort_values("node")
-        x, ids = _matrix(points["vector"]), points["vec_id"].to_numpy()
+        x = _matrix(points["vector"])
+        sizes = points["ids"].map(len).to_numpy()
+        ids = np.concatenate(points["ids"].to_list()), np.cumsum(sizes) - sizes, sizes
         scale = np.abs(x).max()
         small = _scaled(x, scale)
         norms = np.einsum("nd,nd->n", small, small)
@@ -236,25 +251,36 @@ def _found(k: int, beam: int):
             q, names = _matrix(part["query"]), part["query_id"].to_numpy()
             rows, _, _ = search(small, norms, graph, entries, _scaled(q, scale), beam)
             exact = np.sqrt(((x[rows] - q[:, None]) ** 2).sum(axis=2))
-            found = ids[rows]
-            exact[(rows < 0) | (found == names[:, None])] = np.inf
-            order = np.lexsort((found, exact), axis=1)[:, :k]
-            exact, found = (np.take_along_axis(v, order, 1) for v in (exact, found))
-            real = np.isfinite(exact)
-            yield pd.DataFrame({"query_id": np.repeat(names, real.sum(axis=1)),
-                                "vec_id": found[real], "score": exact[real]})
+            asker, slot = np.nonzero(rows >= 0)
+            point = rows[asker, slot]
+            held, first, sizes = ids  # of all points in turn; a point's first one, and how many
+            times = sizes[point]
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            found = held[np.repeat(first[point], times) + within]
+            score, asker = np.repeat(exact[asker, slot], times), np.repeat(asker, times)
+            other = found != names[asker]
+            found, score, asker = found[other], score[other], asker[other]
+            order = np.lexsort((found, score, asker))
+            found, score, asker = found[order], score[order], asker[order]
+            best = np.arange(len(asker)) - np.searchsorted(asker, asker) < k
+            yield pd.DataFrame({"query_id": names[asker[best]], "vec_id": found[best],
+                                "score": score[best]})
 
     return run
 
 
-def nearest(graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = QUERY_BEAM
+def nearest(graph: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, beam: int = QUERY_BEAM
             ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row of ``queries``
     (query_id, query), by Euclidean distance, ties to the smaller id; never the query's own id.
 
     Queries are cut into blocks, and a block searches a shard in one group. An id that asks more
-    than once asks with its smallest vector. ``graph`` is what :func:`index` returns.
+    than once asks with its smallest vector. ``graph`` is what :func:`index` returns for ``k``
+    or more.
     """
+    last, most = graph.agg(F.max("part"), F.min("most")).first()
+    if most is not None and most < k:
+        raise ValueError(f"the index is made for {most} neighbours, not for {k}")
     asked = checkpointed(
         queries.filter(F.col("query_id").isNotNull() & valid(F.col("query")))
         .groupBy("query_id").agg(F.min("query").alias("query")))
@@ -262,7 +288,7 @@ def nearest(graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = QUERY
     parts = graph.select("part", "length").distinct().toDF("part", "length")
     keyed = asked.withColumn("length", F.size("query")).withColumn(
         "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    tasks = max(1, graph.agg(F.max("part")).first()[0] or 0) + 1
+    tasks = max(1, last or 0) + 1
     keys = ["part", "length", "block"]
     right = keyed.join(parts, "length").repartition(tasks * blocks, *keys)
     left = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

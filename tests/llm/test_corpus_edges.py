@@ -188,6 +188,36 @@ def test_graph_search(spark):
     assert ann_graph.nearest(ann_graph.index(none), asked).count() == 0
 
 
+def test_graph_search_among_copies(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(1000, 8))
+    copies = draw.permutation(1000)[:400]
+    assert len(copies) > 3 * ann_graph.QUERY_BEAM
+    x[copies] = x[copies[0]]
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTOR_SCHEMA)
+    near = np.argsort(((x - x[copies[0]]) ** 2).sum(axis=1), kind="stable")[400:420]
+    wanted = sorted({*copies[:40].tolist(), *near.tolist(), *range(20)})
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in wanted],
+                                  "query_id long, query array<double>")
+    found = {i: [] for i in wanted}
+    for r in sorted(ann_graph.nearest(ann_graph.index(rows), asked).collect(),
+                    key=lambda r: r["rank"]):
+        found[r.query_id].append(r.vec_id)
+    hits = 0
+    for i in wanted:
+        gap = ((x - x[i]) ** 2).sum(axis=1)
+        gap[i] = np.inf
+        best = np.lexsort((np.arange(len(x)), gap))[:10].tolist()
+        if i in copies:
+            assert found[i] == best
+        hits += len(set(best) & set(found[i]))
+    assert hits >= 0.98 * 10 * len(wanted)
+    with pytest.raises(ValueError):
+        ann_graph.nearest(ann_graph.index(rows, k=5), asked, k=6)
+
+
 def test_language(spark, docs):
     names, model = language.learnt(docs)
     pages = spark.createDataFrame(
