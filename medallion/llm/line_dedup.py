@@ -23,9 +23,30 @@ DIVISOR = 3  # lines of a chunk, on average
 LEAST_LINES = 2  # of a chunk that may be removed; blank lines do not count
 
 
-def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
-    """The lines of a text as an array of arrays, cut after each line at which the rolling hash
-    of the last ``window`` line hashes is a multiple of ``divisor``. Linear in the text."""
+def _joined(lines: Column) -> Column:
+    return F.array_join(lines, "\n")
+
+
+def _filled(line: Column) -> Column:
+    return F.length(F.trim(line)) > 0
+
+
+def _range(begin: Column, end: Column) -> Column:
+    return F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"))
+
+
+def _within(lines: Column, at: Column) -> Column:
+    return F.slice(lines, at["begin"] + 1, at["end"] - at["begin"] + 1)
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def chunks(lines: Column, window: int, divisor: int, least_lines: int) -> Column:
+    """First and last line, from 0, of the chunks with ``least_lines`` lines that are not blank.
+    Lines are cut after each one at which the rolling hash of the last ``window`` line hashes is a
+    multiple of ``divisor``. Linear in the text."""
     def ends(hashes: Column) -> Column:
         def closes(line: Column) -> Column:
             seen = [F.coalesce(F.get(hashes, line - 1 - back), F.lit(0).cast("long"))
@@ -35,24 +56,23 @@ def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column
         return F.filter(F.sequence(F.lit(1), F.size(hashes)),
                         lambda line: closes(line) | (line == F.size(hashes)))
 
-    def cut(lines: Column, at: Column) -> Column:
-        def one(end: Column, i: Column) -> Column:
-            begin = F.coalesce(F.get(at, i - 1), F.lit(0))
-            return F.slice(lines, begin + 1, end - begin)
+    def ranges(at: Column) -> Column:
+        return F.transform(at, lambda end, i: _range(
+            F.coalesce(F.get(at, i - 1), F.lit(0)), end - 1))
 
-        return F.transform(at, one)
+    return F.filter(
+        let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: let(ends(hashes), ranges)),
+        lambda r: F.size(F.filter(_within(lines, r), _filled)) >= least_lines)
 
-    return let(F.split(text, "\n", -1), lambda lines: let(
-        F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: let(
-            ends(hashes), lambda at: cut(lines, at))))
-
-
-def _joined(lines: Column) -> Column:
-    return F.array_join(lines, "\n")
 
+def _without(lines: Column, gone: Column) -> Column:
+    """``lines`` without the sorted ranges ``gone``, in one pass over both."""
+    def gap(i: Column) -> Column:
+        last = F.coalesce(F.get(gone, i - 1)["end"], F.lit(-1))
+        following = F.coalesce(F.get(gone, i)["begin"], F.size(lines))
+        return F.slice(lines, last + 2, F.greatest(following - last - 1, F.lit(0)))
 
-def _filled(lines: Column) -> Column:
-    return F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), gap))
 
 
 def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
@@ -68,18 +88,19 @@ def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
     """
     ident, digest, gone = fresh(docs.columns, "_id", "_digest", "_gone")
     spare, = fresh(docs.columns, removed or "_removed")
-    cut = chunks(F.col(text), window, divisor)
-    numbered = F.transform(cut, lambda lines: F.struct(
-        F.xxhash64(_joined(lines)).alias("hash"), _filled(lines).alias("lines")))
+    numbered = let(_lines(F.col(text)), lambda lines: F.transform(
+        chunks(lines, window, divisor, least_lines), lambda r: F.struct(
+            r["begin"].alias("begin"), r["end"].alias("end"),
+            F.xxhash64(_joined(_within(lines, r))).alias("hash"))))
     index = checkpointed(
         docs.filter(F.col(text).isNotNull())
         .select(F.col(identity).alias("id"), F.xxhash64(F.col(text)).alias("digest"),
-                F.posexplode(numbered).alias("number", "chunk"))
-        .filter(F.col("chunk.lines") >= least_lines)
-        .select("id", "digest", "number", "chunk.hash"))
+                F.explode(numbered).alias("chunk"))
+        .select("id", "digest", "chunk.*"))
+    place = F.struct("id", "digest", "begin", "end")
     repeated = (
         index.groupBy("hash").agg(F.count(F.lit(1)).alias("n"),
-                                  F.min(F.struct("id", "digest", "number")).alias("first"))
+                                  F.min(place).alias("first"))
         .filter("n > 1").drop("n")
     )
     found = checkpointed(index.join(repeated, "hash"))
@@ -87,41 +108,39 @@ def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
                         F.xxhash64(F.col(text)).alias(digest))
 
     def fetched(wanted: DataFrame) -> DataFrame:
-        """(id, digest, number, hash, bytes) of the chunks ``wanted``."""
-        lists = wanted.select("id", "digest", "number", "hash").distinct().groupBy(
-            "id", "digest").agg(F.collect_list(F.struct("number", "hash")).alias("wanted"))
+        """(id, digest, begin, end, hash, bytes) of the chunks ``wanted``."""
+        lists = wanted.select("id", "digest", "begin", "end", "hash").distinct().groupBy(
+            "id", "digest").agg(F.collect_list(F.struct("begin", "end", "hash")).alias("wanted"))
         same = F.col("id").eqNullSafe(F.col(ident)) & (F.col("digest") == F.col(digest))
-        picked = let(chunks(F.col("text"), window, divisor), lambda all_: F.transform(
+        picked = let(_lines(F.col("text")), lambda lines: F.transform(
             "wanted", lambda w: F.struct(
-                w["number"].alias("number"), w["hash"].alias("hash"),
-                _joined(F.get(all_, w["number"])).alias("bytes"))))
+                w["begin"].alias("begin"), w["end"].alias("end"), w["hash"].alias("hash"),
+                _joined(_within(lines, w)).alias("bytes"))))
         return (whole.join(lists, same).select("id", "digest", F.explode(picked).alias("c"))
                 .select("id", "digest", "c.*"))
 
     variants = fetched(found).groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n"))
     by_hash = checkpointed(variants.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")))
     equal = by_hash.filter("texts = 1").select("hash")
-    place = F.struct("id", "digest", "number")
     doomed = found.join(equal, "hash").filter(~place.eqNullSafe(F.col("first")))
-    doomed = doomed.select("id", "digest", "number")
+    doomed = doomed.select("id", "digest", "begin", "end")
     differing = by_hash.filter("texts > 1").select("hash")
     if not differing.isEmpty():  # chunks of one hash and several texts: compare text by text
         several = checkpointed(fetched(found.join(differing, "hash")))
         first = several.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
         doomed = doomed.unionByName(
             several.join(first, ["hash", "bytes"]).filter(~place.eqNullSafe(F.col("first")))
-            .select("id", "digest", "number"))
-    lists = doomed.groupBy("id", "digest").agg(F.collect_set("number").alias(gone)).select(
+            .select("id", "digest", "begin", "end"))
+    ranges = F.array_sort(F.collect_set(F.struct("begin", "end")))
+    lists = doomed.groupBy("id", "digest").agg(ranges.alias(gone)).select(
         F.col("id").alias(ident), F.col("digest").alias(digest), gone)
     other = [f"{ident}_r", f"{digest}_r"]
     marked = docs.withColumn(digest, F.xxhash64(F.col(text))).join(
         lists.toDF(*other, gone),
         F.col(identity).eqNullSafe(F.col(other[0])) & (F.col(digest) == F.col(other[1])), "left")
-    rest = let(chunks(F.col(text), window, divisor), lambda all_: F.filter(
-        all_, lambda _, i: ~F.array_contains(gone, i)))
-    changed = F.when(F.col(gone).isNull(), F.col(text)).otherwise(
-        _joined(F.flatten(rest)))
+    rest = let(_lines(F.col(text)), lambda lines: _without(lines, F.col(gone)))
+    changed = F.when(F.col(gone).isNull(), F.col(text)).otherwise(_joined(rest))
     lines = F.when(F.col(gone).isNull(), 0).otherwise(
-        F.size(F.split(text, "\n", -1)) - F.size(F.flatten(rest))).cast("int")
+        F.size(_lines(F.col(text))) - F.size(rest)).cast("int")
     columns = [changed.alias(c) if c == text else F.col(c) for c in docs.columns]
     return marked.select(*columns, *([lines.alias(spare)] if removed else []))

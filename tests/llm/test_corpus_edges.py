@@ -126,6 +126,17 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def test_line_dedup_removes_in_one_pass(spark):
+    shared = "\n".join(f"line {i}" for i in range(20_000))
+    rows = spark.createDataFrame([(1, f"{shared}\nbetween"), (2, f"own\n{shared}")],
+                                 "doc_id long, text string")
+    found = line_dedup.deduplicated(rows, removed="removed")
+    assert "array_contains" not in found._jdf.queryExecution().toString()  # quadratic in a text
+    out = {r.doc_id: r for r in found.collect()}
+    assert out[1].removed == 0 and out[2].removed > 12_000
+    assert out[2].removed + out[2].text.count("\n") == 20_000
+
+
 def test_context_mixing(docs, nothing):
     found = context_mixing.scored(docs).collect()
     assert len(found) == 10 and all(r.score < 0 for r in found)
