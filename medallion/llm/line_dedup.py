@@ -5,6 +5,11 @@ chunk ends there, so an inserted line moves the boundaries near it and no others
 several lines are counted by hash over all documents; those that occur more than once are fetched
 and grouped by their bytes; all but the first occurrence of equal bytes are removed.
 
+With ``passages``, every two neighbouring lines that are not blank are a chunk, with the blank
+lines between them, and so is a line of more than ``LONG`` words. Chunks overlap, so a repeated
+passage of two lines or more is found line by line from its first to its last, whatever stands
+around it, and its chunks go together.
+
 Hashes and positions are shuffled for every chunk of several lines; whole texts twice, to fetch
 the repeated chunks and to bring the decisions to the documents. A chunk's occurrences are
 counted and compared by partial aggregates, so a passage in a third of all documents is one row a
@@ -16,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, let
+from .common import checkpointed, count_words, fresh, let
 
 WINDOW = 2  # line hashes that decide a boundary
 DIVISOR = 3  # lines of a chunk, on average
 LEAST_LINES = 2  # of a chunk that may be removed; blank lines do not count
+LONG = 50  # among passages, a line of more words is a chunk of its own
 
 
 def _joined(lines: Column) -> Column:
@@ -65,6 +71,21 @@ def chunks(lines: Column, window: int, divisor: int, least_lines: int) -> Column
         lambda r: F.size(F.filter(_within(lines, r), _filled)) >= least_lines)
 
 
+def neighbours(lines: Column, long: int = LONG) -> Column:
+    """First and last line, from 0, of every two lines that are not blank and have none but blank
+    ones between them, and of every line of more than ``long`` words."""
+    filled = F.filter(F.sequence(F.lit(0), F.size(lines) - 1),
+                      lambda i: _filled(F.get(lines, i)))
+
+    def both(at: Column) -> Column:
+        pairs = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), _range)
+        alone = F.filter(at, lambda i: count_words(F.get(lines, i)) > long)
+        return F.concat(F.filter(pairs, lambda r: r["end"].isNotNull()),
+                        F.transform(alone, lambda i: _range(i, i)))
+
+    return let(filled, both)
+
+
 def _without(lines: Column, gone: Column) -> Column:
     """``lines`` without the sorted ranges ``gone``, in one pass over both."""
     def gap(i: Column) -> Column:
@@ -77,7 +98,7 @@ def _without(lines: Column, gone: Column) -> Column:
 
 def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
                  removed: str | None = None, window: int = WINDOW, divisor: int = DIVISOR,
-                 least_lines: int = LEAST_LINES) -> DataFrame:
+                 least_lines: int = LEAST_LINES, passages: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``; other columns are kept as they are.
 
     The first occurrence, by id and then by place, stays; a null id is the first. A text that
@@ -85,11 +106,19 @@ def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
     Null texts stay null, empty texts empty. Rows equal in id and text are one document: they
     lose the same chunks. Single lines, and chunks with fewer than ``least_lines`` lines that are
     not blank, always stay.
+
+    With ``passages`` every later occurrence of a run of two or more lines that are not blank goes
+    whole, as does that of a line of more than ``LONG`` words; the other parameters of chunks have
+    no effect. Other single lines stay. A line's first occurrence always stays.
     """
     ident, digest, gone = fresh(docs.columns, "_id", "_digest", "_gone")
     spare, = fresh(docs.columns, removed or "_removed")
+
+    def cut(lines: Column) -> Column:
+        return neighbours(lines) if passages else chunks(lines, window, divisor, least_lines)
+
     numbered = let(_lines(F.col(text)), lambda lines: F.transform(
-        chunks(lines, window, divisor, least_lines), lambda r: F.struct(
+        cut(lines), lambda r: F.struct(
             r["begin"].alias("begin"), r["end"].alias("end"),
             F.xxhash64(_joined(_within(lines, r))).alias("hash"))))
     index = checkpointed(
@@ -122,15 +151,22 @@ def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
     variants = fetched(found).groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n"))
     by_hash = checkpointed(variants.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")))
     equal = by_hash.filter("texts = 1").select("hash")
-    doomed = found.join(equal, "hash").filter(~place.eqNullSafe(F.col("first")))
-    doomed = doomed.select("id", "digest", "begin", "end")
+
+    def later(rows: DataFrame) -> DataFrame:
+        """Lines of the chunks that aren't the first ones; those of a first chunk that overlaps
+        with its repetition stay."""
+        own = (F.col("id").eqNullSafe(F.col("first.id"))
+               & (F.col("digest") == F.col("first.digest")))
+        begin = F.when(own, F.greatest("begin", F.col("first.end") + 1)).otherwise(F.col("begin"))
+        return (rows.filter(~place.eqNullSafe(F.col("first")))
+                .select("id", "digest", begin.alias("begin"), "end").filter("begin <= end"))
+
+    doomed = later(found.join(equal, "hash"))
     differing = by_hash.filter("texts > 1").select("hash")
     if not differing.isEmpty():  # chunks of one hash and several texts: compare text by text
         several = checkpointed(fetched(found.join(differing, "hash")))
         first = several.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
-        doomed = doomed.unionByName(
-            several.join(first, ["hash", "bytes"]).filter(~place.eqNullSafe(F.col("first")))
-            .select("id", "digest", "begin", "end"))
+        doomed = doomed.unionByName(later(several.join(first, ["hash", "bytes"])))
     ranges = F.array_sort(F.collect_set(F.struct("begin", "end")))
     lists = doomed.groupBy("id", "digest").agg(ranges.alias(gone)).select(
         F.col("id").alias(ident), F.col("digest").alias(digest), gone)

@@ -126,6 +126,30 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def test_passages_go_in_any_surroundings(spark):
+    import corpus_pipeline
+
+    texts, wanted = [], []
+    for n in range(2, 7):
+        passage = [f"passage {n} line {i}" for i in range(n)]
+        passage.insert(1, "")
+        for copy in range(8):
+            before = [f"before {n} {copy} {i}" for i in range(copy % 3)]
+            after = [f"after {n} {copy} {i}" for i in range(copy % 4)]
+            texts.append("\n".join([*before, *passage, *after]))
+            wanted.append("\n".join([*before, *after]) if copy else texts[-1])
+    long = " ".join(f"word{i}" for i in range(51))
+    for name in "abc":
+        texts.append(f"head {name}\nsingle\ntail {name}\n{long}\nend {name}")
+        gone = "" if name != "a" else f"{long}\n"
+        wanted.append(f"head {name}\nsingle\ntail {name}\n{gone}end {name}")
+    texts.append("again\nagain\nagain\nagain")
+    wanted.append("again\nagain")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_chunks(spark, docs, "").collect()}
+    assert found == dict(enumerate(wanted))
+
+
 def test_line_dedup_removes_in_one_pass(spark):
     shared = "\n".join(f"line {i}" for i in range(20_000))
     rows = spark.createDataFrame([(1, f"{shared}\nbetween"), (2, f"own\n{shared}")],
