@@ -57,7 +57,7 @@ def phrases(df, **settings):
 
 
 @pytest.mark.parametrize("budget", [1 << 20, 40])
-def test_phrases_equal_the_definition(spark, budget):
+def test_phrases_equal_the_definition(spark, monkeypatch, budget):
     """A small budget divides most prefixes, up to four words deep, into many groups."""
     pick = random.Random(5)
     vocabulary = ["a", "B", "c\x01", "c", "ü", "d\x00e", "\x01", "long-word", "b"]
@@ -72,12 +72,10 @@ def test_phrases_equal_the_definition(spark, budget):
     expected = plain_phrases(rows, 20, 50)
     assert len(expected) > 60
     assert phrases(df, least=20, top=50, budget=budget) == expected
-    with_small_memory = collocations.HELD
-    try:
-        collocations.HELD = 7  # pass counts on after nearly every text
-        assert phrases(df, least=20, top=50, budget=budget) == expected
-    finally:
-        collocations.HELD = with_small_memory
+    # Texts are read in parts, and counts passed on after nearly every one.
+    for name, value in (("HELD", 3), ("HELD_NUMBERS", 50), ("PART", 40), ("CODES", 4)):
+        monkeypatch.setattr(collocations, name, value)
+    assert phrases(df, least=20, top=50, budget=budget) == expected
 
 
 @present
