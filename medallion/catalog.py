@@ -275,6 +275,32 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id
             FROM ({EVENTS})))
 WHERE rn = 1""")
 
+_oracle("stream_keyed_state", f"""
+SELECT event_id, ts, user_id, event_type, value
+FROM ({EVENTS}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+_oracle("ingest_messages_bronze", f"""
+SELECT event_id AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       (event_id - (SELECT min(event_id) FROM events)) * {flows.ARRIVALS}
+         // (SELECT max(event_id) - min(event_id) + 1 FROM events) AS segment
+FROM events""")
+_oracle("refresh_incremental", """
+, cents AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS c FROM events)
+SELECT 'events_by_month' AS key, event_type || '/' || CAST(month(ts) AS VARCHAR) AS name,
+       count(*) AS num, CAST(sum(c) AS BIGINT) AS amount, max(value) AS highest
+FROM cents GROUP BY event_type, month(ts)
+UNION ALL
+SELECT 'users_by_last_type', event_type, count(*), 0, max(value)
+FROM (SELECT * FROM events
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+GROUP BY event_type
+UNION ALL
+SELECT 'events_in_all', 'all', count(*), CAST(sum(c) AS BIGINT), max(value) FROM cents""")
+_oracle("codeditems_by_type", f"""
+SELECT i.itemid, i.type, CASE WHEN i.type = '{flows.REPLACED_TYPE}' THEN upper(i.description)
+                              ELSE i.description END AS description, count(e.itemid) AS num
+FROM d_codeditems i LEFT JOIN drgevents e ON e.itemid = i.itemid
+WHERE i.type IN ({", ".join(f"'{t}'" for t in flows.TYPES)}) GROUP BY ALL""")
+
 HASH = "md5(CAST({} AS VARCHAR) || '42')"
 PURCHASES = """
 SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS purchase FROM events"""

@@ -15,18 +15,21 @@ from pyspark.sql import functions as F
 from ..operators import classifier, keep_newest, latest_per_key, upsert
 from ..operators.sampling import oversample, split_by_class, undersample
 from ..session import work_folder
-from ..sources import MedicalTables, decode_payload, read_csv
+from .. import partitions
+from ..sources import MedicalTables, decode_payload, message_log, read_csv
 from ..sources.medical import read_file
 from ..spec import ARRIVAL, MERGE, Layout, SavedQuery, StreamSpec, columns
-from ..streaming import read_bronze, read_silver, run_available, start_bronze
+from ..streaming import (read_bronze, read_keyed, read_silver, run_available, start_bronze,
+                         start_keyed)
 from ..streaming.control import AVAILABLE_NOW
-from . import analyses, gold, serving
+from . import analyses, gold, incremental, serving
 
 FIRST_YEAR, LAST_YEAR = 1996, 2000
 MONTHS = [1, 4, 12]
 SUBSET = ["admissions_deaths_by_year", "admission_state_mortality", "hospital_death_ratio"]
 ARRIVALS = 3
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # keeps microseconds in CSV
+REPLACED_TYPE, TYPES = "STANDARD", ["STANDARD", "PROMO", ""]
 EVENT_COLUMNS = "event_id long!, ts timestamp, user_id long!, event_type string, value double"
 
 
@@ -306,10 +309,95 @@ def silver_top5(spark: SparkSession, folder: str) -> DataFrame:
     return analyses.top5_diseases_by_month(gold.SilverTables(spark, layout, streams))
 
 
+def stream_keyed_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Files to bronze to keyed state, in three arrivals: each user's newest event of all."""
+    layout = _layout(spark, "keyed")
+    spec = _event_stream(layout, method=MERGE, merge_keys=("user_id",), order_by=("ts", "event_id"))
+    for _ in _arrivals(spark, folder, spec):
+        start_bronze(spark, spec, layout, AVAILABLE_NOW).awaitTermination()
+        start_keyed(spark, spec, layout, AVAILABLE_NOW).awaitTermination()
+    return read_keyed(spark, spec, layout).drop(ARRIVAL)
+
+
+CENTS = "sum(cast(round(value * 100) as decimal(20,0)))"  # exact: the order does not matter
+FOLLOWED = {
+    # Events and amounts by type and month.
+    "events_by_month": incremental.Incremental(
+        {"num": "count(*)", "cents": CENTS, "highest": "max(value)"},
+        ["event_type", "month(ts) AS month"],
+        finish=lambda states: states.select(
+            F.concat_ws("/", "event_type", F.col("month").cast("string")).alias("name"),
+            "num", F.col("cents").cast("long").alias("amount"), "highest")),
+    # Users by the type of their last event: a state per user, counted at the end.
+    "users_by_last_type": incremental.Incremental(
+        {"last": "max(struct(ts, event_id, event_type, value))"}, ["user_id"],
+        finish=lambda states: states.groupBy(F.col("last.event_type").alias("name")).agg(
+            F.count(F.lit(1)).alias("num"), F.lit(0).cast("long").alias("amount"),
+            F.max("last.value").alias("highest"))),
+    # All events.
+    "events_in_all": incremental.Incremental(
+        {"num": "count(*)", "cents": CENTS, "highest": "max(value)"},
+        finish=lambda states: states.select(
+            F.lit("all").alias("name"), "num", F.col("cents").cast("long").alias("amount"),
+            "highest")),
+}
+
+
+def refresh_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Three gold tables, refreshed after each of three arrivals from the new rows alone."""
+    layout = _layout(spark, "incremental")
+    spec = _event_stream(layout)
+    followed = incremental.IncrementalGold(spark, layout, spec, FOLLOWED)
+    for _ in _arrivals(spark, folder, spec):
+        start_bronze(spark, spec, layout, AVAILABLE_NOW).awaitTermination()
+        followed.refresh()
+    results = [gold.read_gold(spark, layout, key).withColumn("key", F.lit(key))
+               for key in FOLLOWED]
+    return reduce(DataFrame.unionByName, results)
+
+
+def ingest_messages_bronze(spark: SparkSession, folder: str) -> DataFrame:
+    """The payloads of all events as messages, published three times and streamed into bronze by a
+    query that is started anew for each."""
+    layout = _layout(spark, "messages")
+    spec = StreamSpec("messages", columns("key long!, k long, segment long"),
+                      source_format=message_log.FORMAT, source_path=f"{layout.root}/topic",
+                      message_columns=("key", "segment"))
+    events = read_file(spark, folder, "events").select("event_id", "props")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    arrival = F.expr(f"(event_id - {low}L) * {ARRIVALS} div {high - low + 1}L")
+    for number in range(ARRIVALS):
+        message_log.publish(events.filter(arrival == number), spec.source_path,
+                            F.col("event_id"), F.col("props"))
+        start_bronze(spark, spec, layout, AVAILABLE_NOW).awaitTermination()
+    return read_bronze(spark, spec, layout).drop(ARRIVAL)
+
+
+ITEM_COLUMNS = "itemid bigint, code string, type string, description string"
+
+
+def codeditems_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """The coded items in a folder per type; one type is replaced, then a few types are counted in
+    the events by a join that lists only their folders."""
+    tables = MedicalTables(spark, folder)
+    path = work_folder(spark, "codeditems")
+    items = tables("d_codeditems")
+    partitions.replace_partitions(items, path, ["type"])
+    changed = items.filter(F.col("type") == REPLACED_TYPE).withColumn(
+        "description", F.upper("description"))
+    partitions.replace_partitions(changed, path, ["type"])
+    kept = partitions.read_partitions(spark, path, ITEM_COLUMNS, ["type"]).filter(
+        F.col("type").isin(TYPES))
+    counts = tables("drgevents", "itemid").groupBy("itemid").agg(F.count(F.lit(1)).alias("num"))
+    return kept.join(counts, "itemid", "left").select(
+        "itemid", "type", "description", F.coalesce("num", F.lit(0)).cast("long").alias("num"))
+
+
 ALL = [
     upsert_batch, saved_query_gold, adhoc_sql, result_cache_roundtrip, cached_rows_by_month,
     refresh_subset, refresh_all, decode_payload_query, ingest_csv_bronze,
     stream_append_silver, stream_merge_silver, stratified_split, random_oversample,
     random_undersample, resampled_training, accuracy_at_threshold, score_threshold,
-    classifier_eval, model_scoring, answer_documents, silver_top5,
+    classifier_eval, model_scoring, answer_documents, silver_top5, stream_keyed_state,
+    refresh_incremental, ingest_messages_bronze, codeditems_by_type,
 ]

@@ -1,3 +1,4 @@
+from . import message_log
 from .medical import MedicalTables
 from .readers import decode_payload, read_csv, stream_source
 

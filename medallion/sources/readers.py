@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..spec import StreamSpec
+from . import message_log
 
 CSV_OPTIONS = {"sep": ",", "header": "true"}
 # The file source forgets files much older than the newest one and would skip late arrivals.
@@ -50,6 +51,8 @@ def stream_source(spark: SparkSession, spec: StreamSpec) -> DataFrame:
         defaults = STREAM_OPTIONS | (CSV_OPTIONS if spec.source_format == "csv" else {})
         return (reader.options(**{**defaults, **spec.source_options})
                 .schema(spec.source_schema).load(spec.source_path))
+    if spec.source_format == message_log.FORMAT:
+        message_log.register(spark)
     reader = reader.options(**spec.source_options)
     messages = reader.load(spec.source_path) if spec.source_path else reader.load()
     own = spec.message_columns

@@ -141,6 +141,12 @@ class Layout:
     def silver_checkpoint(self, spec: StreamSpec) -> str:
         return self._path("checkpoint", "silver", spec.table)
 
+    def keyed_checkpoint(self, spec: StreamSpec) -> str:
+        return self._path("checkpoint", "keyed", spec.table)
+
+    def refresh_checkpoint(self, key: str) -> str:
+        return self._path("checkpoint", "refresh", key)
+
     def bronze_query(self, spec: StreamSpec) -> str:
         return f"{self.project}-{spec.bronze_folder}-{spec.table}"
 

@@ -1,0 +1,319 @@
+"""Keyed state, refreshes from new rows, the message source and tables with folders per value."""
+
+import json
+from datetime import datetime, timedelta
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
+
+from medallion import partitions
+from medallion.operators import keep_newest
+from medallion.plans import gold, incremental, serving
+from medallion.sources import message_log
+from medallion.spec import ARRIVAL, MERGE, StreamSpec, columns
+from medallion.streaming import read_bronze, read_keyed, start_bronze, start_keyed
+from medallion.streaming.control import AVAILABLE_NOW
+
+T0 = datetime(2024, 1, 1, 12)
+COLUMNS = columns("id integer, part string, at timestamp, n long")
+
+
+def _deliver(tmp_path, name, data):
+    """Rows (id, part, minutes, n) as a CSV file."""
+    (tmp_path / "in").mkdir(exist_ok=True)
+    lines = [f"{'' if i is None else i},{p or ''},{(T0 + timedelta(minutes=m)).isoformat()},{n}"
+             for i, p, m, n in data]
+    (tmp_path / "in" / f"{name}.csv").write_text("\n".join(["id,part,at,n", *lines]) + "\n")
+
+
+def _spec(tmp_path, **settings):
+    return StreamSpec("t", COLUMNS, source_path=str(tmp_path / "in"), **settings)
+
+
+def _bronze(spark, spec, layout):
+    start_bronze(spark, spec, layout, AVAILABLE_NOW).awaitTermination()
+
+
+# Keyed state
+
+DATA = [(i % 5, "ab"[i % 2], (i * 7) % 23, i) for i in range(40)] + [
+    (3, "a", 99, 100), (3, "a", 99, 101), (3, "a", 99, 101), (None, "a", 1, 1), (None, "a", 1, 1),
+    (None, "b", 2, 2), (4, None, 5, 5), (4, None, 6, 6)]
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 6])
+@pytest.mark.parametrize("keys", [("id",), ("id", "part")])
+def test_state_is_the_newest_row_of_all_input(spark, layout, tmp_path, keys, cuts):
+    spec = _spec(tmp_path, method=MERGE, merge_keys=keys, order_by=("at",))
+    changes = []
+    for k in range(cuts):
+        _deliver(tmp_path, f"f{k}", DATA[k::cuts])
+        _bronze(spark, spec, layout)
+        # Each run is a new start of the query from its checkpoint.
+        start_keyed(spark, spec, layout, AVAILABLE_NOW,
+                    lambda batch, number: changes.append((number, batch.count()))
+                    ).awaitTermination()
+    whole = read_bronze(spark, spec, layout)
+    expected = keep_newest(whole.drop(ARRIVAL), keys, ["at"])
+    found = read_keyed(spark, spec, layout)
+    assert found.schema == spec.table_schema
+    assert rows(found.drop(ARRIVAL)) == rows(expected)
+    assert len(changes) == cuts and changes[-1][1] <= expected.count()
+
+
+def test_a_state_without_new_rows_stays(spark, layout, tmp_path):
+    spec = _spec(tmp_path, method=MERGE, merge_keys=("id",), order_by=("at",))
+    _deliver(tmp_path, "a", [(1, "a", 0, 1)])
+    for _ in range(2):
+        _bronze(spark, spec, layout)
+        start_keyed(spark, spec, layout, AVAILABLE_NOW).awaitTermination()
+    assert rows(read_keyed(spark, spec, layout).select("id", "n")) == [(1, 1)]
+    with pytest.raises(ValueError, match="keys"):
+        start_keyed(spark, _spec(tmp_path), layout)
+
+
+def test_a_change_that_fails_is_given_again(spark, layout, tmp_path):
+    spec = _spec(tmp_path, method=MERGE, merge_keys=("id",), order_by=("at",))
+    _deliver(tmp_path, "a", [(1, "a", 0, 1), (2, "a", 0, 1)])
+    _bronze(spark, spec, layout)
+
+    def die(batch, number):
+        raise OSError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        start_keyed(spark, spec, layout, AVAILABLE_NOW, die).awaitTermination()
+    seen = []
+    start_keyed(spark, spec, layout, AVAILABLE_NOW,
+                lambda batch, number: seen.append(batch.count())).awaitTermination()
+    assert seen == [2] and read_keyed(spark, spec, layout).count() == 2
+
+
+# Incremental refresh
+
+BY_PART = incremental.Incremental(
+    {"num": "count(*)", "total": "sum(n)", "last": "max(struct(at, id))"}, ["part"],
+    finish=lambda s: s.select("part", "num", "total", F.col("last.id").alias("last_id")))
+
+
+def _followed(spark, layout, spec, **more):
+    return incremental.IncrementalGold(spark, layout, spec, {"by_part": BY_PART, **more})
+
+
+def test_refreshes_equal_full_ones(spark, layout, tmp_path):
+    spec = _spec(tmp_path)
+    followed = _followed(spark, layout, spec)
+    for k in range(3):
+        _deliver(tmp_path, f"f{k}", DATA[k::3])
+        _bronze(spark, spec, layout)
+        assert set(followed.refresh()) == {"by_part"}
+        result = gold.read_gold(spark, layout, "by_part")
+        assert rows(result) == rows(followed.full("by_part"))
+    documents = [json.loads(r.row) for r in serving.read(spark, layout, "by_part").collect()]
+    assert sum(d["num"] for d in documents) == len(DATA)
+    assert followed.refresh() == {}  # nothing new: gold and documents stay
+    assert rows(gold.read_gold(spark, layout, "by_part")) == rows(followed.full("by_part"))
+
+
+def test_a_refresh_reads_only_new_rows(spark, layout, tmp_path):
+    spec = _spec(tmp_path)
+    read = []
+
+    counted = incremental.Incremental(
+        {"num": "count(*)"}, prepare=lambda r: r.filter("n >= 0"))
+    followed = incremental.IncrementalGold(spark, layout, spec, {"n": counted})
+
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event): pass
+        def onQueryIdle(self, event): pass
+        def onQueryTerminated(self, event): pass
+
+        def onQueryProgress(self, event):
+            if event.progress.name.endswith("refresh-n"):
+                read.append(event.progress.numInputRows)
+
+    listener = Progress()
+    spark.streams.addListener(listener)
+    try:
+        for k, size in enumerate((500, 20, 3)):
+            _deliver(tmp_path, f"f{k}", [(1, "a", 0, i) for i in range(size)])
+            _bronze(spark, spec, layout)
+            followed.refresh()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    assert rows(gold.read_gold(spark, layout, "n")) == [(523,)]
+    if read:  # the query runs in a session of its own; its progress may be heard by that one only
+        assert [n for n in read if n] == [500, 20, 3]
+    # Older files may even be gone: a refresh does not open them.
+    for path in (tmp_path / "medical" / "bronze" / "t").glob("*.parquet"):
+        path.unlink()
+    _deliver(tmp_path, "f9", [(1, "a", 0, 1)] * 4)
+    _bronze(spark, spec, layout)
+    followed.refresh()
+    assert rows(gold.read_gold(spark, layout, "n")) == [(527,)]
+
+
+def test_a_failed_finish_loses_no_rows(spark, layout, tmp_path):
+    spec = _spec(tmp_path)
+    _deliver(tmp_path, "a", DATA)
+    _bronze(spark, spec, layout)
+    bad = incremental.Incremental({"num": "count(*)"}, finish=lambda s: s.select("no_such"))
+    with pytest.raises(gold.RefreshError) as caught:
+        _followed(spark, layout, spec, bad=bad).refresh()
+    assert set(caught.value.errors) == {"bad"}
+    assert gold.read_gold(spark, layout, "by_part").count() == 3
+    good = incremental.Incremental({"num": "count(*)"})
+    _followed(spark, layout, spec, bad=good).refresh(["bad"])
+    assert rows(gold.read_gold(spark, layout, "bad")) == [(len(DATA),)]
+    with pytest.raises(ValueError, match="append"):
+        _followed(spark, layout, _spec(tmp_path, method=MERGE, merge_keys=("id",)))
+
+
+# Messages
+
+
+def _topic(tmp_path):
+    return StreamSpec("m", columns("key string, offset long, segment long, a long, b string"),
+                      source_format=message_log.FORMAT, source_path=str(tmp_path / "topic"),
+                      message_columns=("key", "offset", "segment"))
+
+
+def _publish(spark, spec, payloads):
+    df = spark.createDataFrame([(str(i), p) for i, p in enumerate(payloads)], "k string, v string")
+    return message_log.publish(df.coalesce(1), spec.source_path, F.col("k"), F.col("v"))
+
+
+def test_messages_of_all_segments_once(spark, layout, tmp_path):
+    spec = _topic(tmp_path)
+    (tmp_path / "topic").mkdir()
+    _bronze(spark, spec, layout)  # no segment yet
+    assert _publish(spark, spec, ['{"a": 1, "b": "x"}', "no json", None]) == 0
+    _bronze(spark, spec, layout)
+    assert _publish(spark, spec, ['{"a": 2}']) == 1
+    assert _publish(spark, spec, []) == 2
+    assert _publish(spark, spec, ['{"a": 3, "b": "é"}', '{"a": 4}']) == 3
+    for _ in range(2):
+        _bronze(spark, spec, layout)
+    found = rows(read_bronze(spark, spec, layout).select("segment", "offset", "key", "a", "b"))
+    assert found == [(0, 0, "0", 1, "x"), (0, 1, "1", None, None), (0, 2, "2", None, None),
+                     (1, 0, "0", 2, None), (3, 0, "0", 3, "é"), (3, 1, "1", 4, None)]
+
+
+def test_half_written_segments_are_not_read(spark, layout, tmp_path):
+    spec = _topic(tmp_path)
+    _publish(spark, spec, ['{"a": 1}'])
+    number = _publish(spark, spec, ['{"a": 2}'])
+    _publish(spark, spec, ['{"a": 3}'])
+    mark = tmp_path / "topic" / f"segment={number:012d}" / "_SUCCESS"
+    mark.unlink()
+    _bronze(spark, spec, layout)
+    assert rows(read_bronze(spark, spec, layout).select("a")) == [(1,)]
+    mark.touch()
+    _bronze(spark, spec, layout)
+    assert rows(read_bronze(spark, spec, layout).select("a")) == [(1,), (2,), (3,)]
+
+
+def test_a_batch_of_messages_is_replayed(spark, tmp_path):
+    """A batch that failed is read again from the same offsets, whatever has come since."""
+    message_log.register(spark)
+    spec = _topic(tmp_path)
+    seen, fail = [], [True]
+
+    def take(batch, number):
+        seen.append((number, sorted(r.segment for r in batch.collect())))
+        if fail.pop() if fail else False:
+            raise OSError("lost")
+
+    def start():
+        stream = spark.readStream.format(message_log.FORMAT).load(spec.source_path)
+        return stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(
+            **AVAILABLE_NOW).foreachBatch(take).start()
+
+    _publish(spark, spec, ['{"a": 1}'] * 2)
+    with pytest.raises(Exception, match="lost"):
+        start().awaitTermination()
+    _publish(spark, spec, ['{"a": 2}'])
+    start().awaitTermination()  # replays and stops
+    start().awaitTermination()
+    assert seen == [(0, [0, 0]), (0, [0, 0]), (1, [1])]
+
+
+def test_new_readers_may_start_at_the_end(spark, tmp_path):
+    message_log.register(spark)
+    spec = _topic(tmp_path)
+    _publish(spark, spec, ['{"a": 1}'])
+    seen = []
+
+    def run():
+        stream = spark.readStream.format(message_log.FORMAT).option(
+            "startingOffsets", "latest").load(spec.source_path)
+        stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(
+            **AVAILABLE_NOW).foreachBatch(
+            lambda b, n: seen.extend(r.segment for r in b.collect())).start().awaitTermination()
+
+    run()
+    _publish(spark, spec, ['{"a": 2}'])
+    run()
+    assert seen == [1]
+
+
+# Folders per value
+
+ITEMS = "id int, type string, x double, day date"
+
+
+def _items(spark, data):
+    return spark.createDataFrame(data, ITEMS)
+
+
+def test_folders_keep_empty_and_null_values(spark, tmp_path):
+    path = str(tmp_path / "t")
+    data = [(1, "a", 1.0, None), (2, "", 2.0, None), (3, None, 3.0, None), (4, "a/b=c %", 4.0, None),
+            (5, "__HIVE_DEFAULT_PARTITION__", 5.0, None)]
+    partitions.replace_partitions(_items(spark, data), path, ["type"])
+    found = partitions.read_partitions(spark, path, ITEMS, ["type"])
+    assert rows(found) == data and found.schema == T.StructType.fromDDL(ITEMS)
+    assert rows(found.filter("type = ''").select("id")) == [(2,)]
+    assert rows(found.filter("type IS NULL").select("id")) == [(3,)]
+
+
+def test_only_touched_folders_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    partitions.replace_partitions(
+        _items(spark, [(i, "ab"[i % 2], 0.0, None) for i in range(10)]), path, ["type"])
+    before = {p.name for p in (tmp_path / "t" / "_by_type=_a").glob("*.parquet")}
+    partitions.replace_partitions(_items(spark, [(99, "b", 1.0, None), (100, "", 1.0, None)]), path,
+                                  ["type"])
+    found = partitions.read_partitions(spark, path, ITEMS, ["type"])
+    assert rows(found.select("id", "type")) == [
+        (0, "a"), (2, "a"), (4, "a"), (6, "a"), (8, "a"), (99, "b"), (100, "")]
+    assert before == {p.name for p in (tmp_path / "t" / "_by_type=_a").glob("*.parquet")}
+    partitions.replace_partitions(_items(spark, []), path, ["type"])
+    assert partitions.read_partitions(spark, path, ITEMS, ["type"]).count() == 7
+    with pytest.raises(ValueError):
+        partitions.replace_partitions(_items(spark, []), path, [])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_joins_list_only_their_folders(spark, tmp_path):
+    path = str(tmp_path / "t")
+    partitions.replace_partitions(
+        _items(spark, [(i, f"t{i % 20}", float(i), datetime(2024, 1, 1 + i % 9).date())
+                       for i in range(400)]), path, ["type", "day"])
+    found = partitions.read_partitions(spark, path, ITEMS, ["type", "day"])
+    one = found.filter("type = 't3' AND day = date'2024-01-05'")
+    plan = _plan(one)
+    assert "PartitionFilters: [" in plan and "_by_type" in plan.split("PartitionFilters: [")[1]
+    assert "PartitionFilters: []" not in plan
+    files = {r[0] for r in one.select(F.col("_metadata.file_path")).collect()}
+    assert len(files) >= 1 and all("_by_type=_t3/_by_day=_2024-01-05" in f for f in files)
+    wanted = spark.createDataFrame([("t3", 1), ("t4", 0)], "type string, pick int").filter("pick = 1")
+    joined = found.join(F.broadcast(wanted), "type")
+    assert "dynamicpruning" in _plan(joined)
+    assert joined.count() == 20
