@@ -1,4 +1,10 @@
-"""Bronze -> silver: append each batch, or upsert it by key."""
+"""Bronze -> silver: append each batch, or upsert it by key.
+
+A batch is a folder of parquet files, ``_stream=<number>-<id>/_batch=<number>``, that Spark writes
+and finds again as partitions; there is no other record. A batch that failed is overwritten, one
+that Spark has marked as whole is left alone, so a replay changes nothing. While a batch is being
+committed its files appear one by one.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +12,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import keep_newest, upsert
-from ..spec import MERGE, Layout, StreamSpec
-from ..versions import VERSION, Commit, VersionedTable, version_folder
+from ..files import Files
+from ..operators.upsert import keep_newest
+from ..partitions import folder_schema, with_folders, without_folders
+from ..spec import APPEND, MERGE, Layout, StreamSpec
 from .bronze import ensure_tables
 
-BASE = "base"  # the part of a table that holds one row per key already
+STREAM, BATCH = "_stream", "_batch"
+WHOLE = "_SUCCESS"
 
 
 def _clustered(rows: DataFrame, columns: Sequence[str], spec: StreamSpec) -> DataFrame:
@@ -26,26 +35,40 @@ def _clustered(rows: DataFrame, columns: Sequence[str], spec: StreamSpec) -> Dat
     return rows.repartitionByRange(*near, spread).sortWithinPartitions(*near)
 
 
+def _streams(files: Files, path: str) -> list[str]:
+    """Folders of the streams that have written to a table, in the order they came."""
+    return sorted(name for name in files.names(path) if name.startswith(f"{STREAM}="))
+
+
+def _by(spec: StreamSpec) -> tuple[str, ...]:
+    """Columns with a folder per value. Rows that are merged may change theirs, so only the rows of
+    appended tables have such folders."""
+    return spec.partition_by if spec.method == APPEND else ()
+
+
 def _add(rows: DataFrame, spec: StreamSpec, layout: Layout, stream: str, number: int) -> None:
-    """Write a batch to a folder of its own and name it in a commit: readers see all of it or
-    nothing. A batch that was applied before is skipped; one that failed half-way is written
-    again over what it left."""
-    table = VersionedTable(rows.sparkSession, layout.silver(spec.table))
-    state = table.current()
-    if state.holds(stream, number):
+    """Write a batch to a folder of its own, unless it is there already."""
+    files, path = Files(rows.sparkSession), layout.silver(spec.table)
+    there = _streams(files, path)
+    own = next((name for name in there if name.partition("-")[2] == stream),
+               f"{STREAM}={len(there):06d}-{stream}")
+    folder = f"{path}/{own}/{BATCH}={number}"
+    if WHOLE in files.names(folder):
         return
-    version = state.number + 1
-    rows.write.mode("overwrite").parquet(table.folder(version))
-    parts = {**state.parts, str(version): [version_folder(version)]}
-    table.commit(Commit(version, parts, {**state.applied, stream: number}))
+    by = _by(spec)
+    writer = with_folders(rows, by).write.mode("overwrite")
+    if by:
+        writer = writer.partitionBy(*[f.name for f in folder_schema(rows.schema, by)
+                                      if f.name not in rows.columns])
+    writer.parquet(folder)
 
 
 def merge_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
                 number: int) -> None:
     """Upsert ``batch`` into the silver table: its rows replace those of the same key.
 
-    Only the batch's rows are written, one per key. Reading lets the last batch win;
-    :func:`compact_silver` makes that the table's base.
+    Only the batch's rows are written, one per key; reading lets the last batch win. For tables
+    with a long history of changes use the keyed state, whose size follows the keys.
     """
     rows = keep_newest(batch.select(*spec.column_names), spec.merge_keys, spec.order_by,
                        spec.on_duplicate)
@@ -54,35 +77,29 @@ def merge_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
 
 def append_batch(batch: DataFrame, spec: StreamSpec, layout: Layout, stream: str,
                  number: int) -> None:
-    """Add the declared columns of ``batch``, clustered by ``partition_by`` and ``cluster_by``."""
+    """Add the declared columns of ``batch``: a folder per value of ``partition_by``, in it files
+    that hold ranges of ``cluster_by``."""
     near = list(dict.fromkeys([*spec.partition_by, *spec.cluster_by]))
     _add(_clustered(batch.select(*spec.column_names), near, spec), spec, layout, stream, number)
 
 
 def read_silver(spark: SparkSession, spec: StreamSpec, layout: Layout) -> DataFrame:
-    """The rows of all whole batches; of a merge table the last batch's row of every key, and all
-    rows with a NULL in a key, which match nothing."""
-    table = VersionedTable(spark, layout.silver(spec.table))
-    state = table.current()
+    """The rows of all batches; of a merge table the last batch's row of every key, and all rows
+    with a NULL in a key, which match nothing. A filter on ``partition_by`` of an appended table
+    decides which folders are read."""
+    files, path, by = Files(spark), layout.silver(spec.table), _by(spec)
+    streams = _streams(files, path)
+    if not streams:
+        return spark.createDataFrame([], spec.table_schema)
+    schema = T.StructType([*folder_schema(spec.table_schema, by).fields,
+                           T.StructField(STREAM, T.StringType()),
+                           T.StructField(BATCH, T.LongType())])
+    rows = spark.read.schema(schema).parquet(path)
     if spec.method != MERGE:
-        return table.read(spec.table_schema)
-    base = table.read(spec.table_schema, [BASE])
-    added = [part for part in state.parts if part != BASE]
-    if not added:
-        return base
-    keys = list(spec.merge_keys)
-    batches = table.read(spec.table_schema, added, version=len(added) > 1)
-    if len(added) > 1:
-        batches = keep_newest(batches, keys, [VERSION]).drop(VERSION)
-    return upsert(base, batches, keys) if BASE in state.parts else batches
-
-
-def compact_silver(spark: SparkSession, spec: StreamSpec, layout: Layout) -> None:
-    """Write what readers see as one folder. Run it when reading many batches costs more than
-    writing the table once, and not while a batch is being added; vacuum afterwards."""
-    table = VersionedTable(spark, layout.silver(spec.table))
-    near = list(dict.fromkeys([*spec.partition_by, *spec.cluster_by]))
-    table.replace(_clustered(read_silver(spark, spec, layout), near, spec), part=BASE)
+        return without_folders(rows, spec.table_schema, by)
+    if len(streams) > 1 or len(files.names(f"{path}/{streams[0]}")) > 1:
+        rows = keep_newest(rows, spec.merge_keys, [STREAM, BATCH])
+    return rows.select(*spec.column_names)
 
 
 def start_silver(spark: SparkSession, spec: StreamSpec, layout: Layout,
@@ -105,9 +122,3 @@ def start_silver(spark: SparkSession, spec: StreamSpec, layout: Layout,
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()
-
-
-def vacuum_silver(spark: SparkSession, spec: StreamSpec, layout: Layout,
-                  keep: int = 2) -> list[str]:
-    """Drop row folders that only states older than the last ``keep`` use."""
-    return VersionedTable(spark, layout.silver(spec.table)).vacuum(keep)

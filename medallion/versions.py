@@ -1,16 +1,15 @@
-"""A table that is replaced in part or whole while others read it.
+"""A table that is replaced as a whole while others read it.
 
-Its rows lie in parquet folders that are never changed, ``_version=<number>/...``. A small
-JSON file per commit, ``_commits/<number>.json``, names the folders that make up the table.
-Readers take the newest commit, so they see the state before or after a change, never between,
-and a writer that dies leaves only folders no commit names. One writer at a time.
+Its rows lie in a parquet folder that is never changed, ``_version=<number>``. A small JSON file per
+replacement, ``_commits/<number>.json``, points to it. Readers follow the newest pointer, so they see
+the rows before or after a change, never between, and a writer that dies leaves only a folder that
+nothing points to. One writer at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -18,24 +17,10 @@ from pyspark.sql import types as T
 from .files import Files
 
 
-VERSION = "_version"
-
-
-def version_folder(number: int) -> str:
-    return f"{VERSION}={number:012d}"
-
-
 @dataclass(frozen=True)
 class Commit:
     number: int
-    parts: dict[str, list[str]] = field(default_factory=dict)  # name of a part -> its folders
-    applied: dict[str, int] = field(default_factory=dict)  # stream id -> its last batch
-
-    def folders(self) -> list[str]:
-        return [folder for folders in self.parts.values() for folder in folders]
-
-    def holds(self, stream: str, batch: int) -> bool:
-        return batch <= self.applied.get(stream, -1)
+    folder: str | None = None
 
 
 class VersionedTable:
@@ -61,36 +46,26 @@ class VersionedTable:
         text = json.dumps(asdict(commit))
         self.files.create_whole(f"{self._commits}/{commit.number:012d}.json", text)
 
-    def folder(self, number: int) -> str:
-        return f"{self.path}/{version_folder(number)}"
-
-    def read(self, schema: T.StructType | None = None, parts: Iterable[str] | None = None,
-             version: bool = False) -> DataFrame:
-        """The current rows, or those of some parts; with ``version`` also the number of the
-        commit that added each. An empty table needs ``schema``."""
+    def read(self, schema: T.StructType | None = None) -> DataFrame:
+        """The current rows. An empty table needs ``schema``."""
         current = self.current()
-        names = current.parts if parts is None else [p for p in parts if p in current.parts]
-        folders = [f"{self.path}/{folder}" for name in names for folder in current.parts[name]]
-        if not folders:
+        if current.folder is None:
             if schema is None:
                 raise FileNotFoundError(f"{self.path} holds no table")
             return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.option("basePath", self.path)
-        if schema is None:
-            return reader.parquet(*folders).drop(VERSION)
-        more = [VERSION] if version else []
-        return reader.schema(schema).parquet(*folders).select(*schema.names, *more)
-
-    def replace(self, df: DataFrame, part: str = "all") -> str:
-        """Make ``df`` the whole table, as one part; returns its folder."""
-        last = self.current()
-        number = last.number + 1
-        df.write.mode("overwrite").parquet(self.folder(number))
-        self.commit(Commit(number, {part: [version_folder(number)]}, last.applied))
-        return self.folder(number)
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(f"{self.path}/{current.folder}")
+
+    def replace(self, df: DataFrame) -> str:
+        """Make ``df`` the whole table; returns its folder."""
+        number = self.current().number + 1
+        folder = f"_version={number:012d}"
+        df.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        self.commit(Commit(number, folder))
+        return f"{self.path}/{folder}"
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete what only commits older than the last ``keep`` name; returns the folders.
+        """Delete the folders of all but the last ``keep`` replacements; returns them.
 
         Call it when no reader may still use an older state and no writer is active.
         """
@@ -98,8 +73,8 @@ class VersionedTable:
             raise ValueError("at least the current state must be kept")
         numbers = self.numbers()
         old = [self.commit_at(n) for n in numbers[:-keep]]
-        kept = {f for n in numbers[-keep:] for f in self.commit_at(n).folders()}
-        stale = sorted({f for c in old for f in c.folders()} - kept)
+        kept = {self.commit_at(n).folder for n in numbers[-keep:]}
+        stale = sorted({c.folder for c in old} - kept)
         for folder in stale:
             self.files.delete(f"{self.path}/{folder}")
         for commit in old:

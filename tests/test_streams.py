@@ -23,11 +23,8 @@ from medallion.streaming import (
     start_pipeline,
     stop_all,
     stop_pipeline,
-    vacuum_silver,
 )
-from medallion.streaming import silver
 from medallion.streaming.control import AVAILABLE_NOW
-from medallion.versions import VersionedTable
 
 T0 = datetime(2024, 1, 1, 12, 0, 0, 123456)
 COLUMNS = columns("id integer!, at timestamp, kind string, x float, ok boolean")
@@ -146,17 +143,14 @@ def test_replayed_batches_change_nothing(spark, layout, tmp_path):
     assert read_silver(spark, other, layout).count() == 3
 
 
-def test_a_batch_that_died_is_written_again(spark, layout, tmp_path, monkeypatch):
+def test_a_batch_that_died_is_written_again(spark, layout, tmp_path):
     spec = _merge_spec(tmp_path)
     merge_batch(_batch(spark, spec, [(1, 0, "a")]), spec, layout, "q", 0)
 
-    def die(*_):
-        raise OSError("lost")
-
-    with monkeypatch.context() as patch:
-        patch.setattr(VersionedTable, "commit", die)
-        with pytest.raises(OSError):
-            merge_batch(_batch(spark, spec, [(1, 1, "b"), (2, 1, "b")]), spec, layout, "q", 1)
+    dying = _batch(spark, spec, [(1, 1, "b"), (2, 1, "b")]).withColumn(
+        "kind", F.when(F.col("id") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("kind")))
+    with pytest.raises(Exception, match="lost"):
+        merge_batch(dying, spec, layout, "q", 1)
     assert _kinds(spark, spec, layout) == [(1, "a")]
     merge_batch(_batch(spark, spec, [(1, 1, "b"), (2, 1, "b")]), spec, layout, "q", 1)
     assert _kinds(spark, spec, layout) == [(1, "b"), (2, "b")]
@@ -165,30 +159,43 @@ def test_a_batch_that_died_is_written_again(spark, layout, tmp_path, monkeypatch
 def test_a_batch_writes_only_its_rows(spark, layout, tmp_path):
     spec = _merge_spec(tmp_path)
     merge_batch(_batch(spark, spec, [(i, 0, "a") for i in range(200)]), spec, layout, "q", 0)
-    table = VersionedTable(spark, layout.silver("t"))
-    before = table.current().parts
+    table = tmp_path / "medical" / "silver" / "t" / "_stream=000000-q"
+    before = {p: p.stat().st_mtime_ns for p in (table / "_batch=0").iterdir()}
     merge_batch(_batch(spark, spec, [(5, 1, "b"), (200, 1, "b")]), spec, layout, "q", 1)
-    after = table.current().parts
-    added, = [folders for part, folders in after.items() if part not in before]
-    assert {part: after[part] for part in before} == before
-    assert spark.read.parquet(f"{table.path}/{added[0]}").count() == 2
+    assert before == {p: p.stat().st_mtime_ns for p in (table / "_batch=0").iterdir()}
+    assert {p.name for p in table.iterdir()} == {"_batch=0", "_batch=1"}
+    assert spark.read.parquet(str(table / "_batch=1")).count() == 2
     assert read_silver(spark, spec, layout).count() == 201
 
 
-def test_compaction_keeps_rows_and_applied_batches(spark, layout, tmp_path):
+def test_many_batches_of_two_streams(spark, layout, tmp_path):
     spec = _merge_spec(tmp_path)
-    for number in range(4):
-        merge_batch(_batch(spark, spec, [(number, 0, "a"), (0, number, f"k{number}"),
+    for number in range(12):
+        merge_batch(_batch(spark, spec, [(number % 4, 0, "a"), (0, number, f"k{number}"),
                                          (None, number, "n")]), spec, layout, "q", number)
-    expected = _kinds(spark, spec, layout)
-    silver.compact_silver(spark, spec, layout)
-    assert list(VersionedTable(spark, layout.silver("t")).current().parts) == [silver.BASE]
+    expected = [(None, "n")] * 12 + [(0, "k11"), (1, "a"), (2, "a"), (3, "a")]
+    assert _kinds(spark, spec, layout) == expected
     merge_batch(_batch(spark, spec, [(9, 0, "replay")]), spec, layout, "q", 3)
+    merge_batch(_batch(spark, spec, [(1, 5, "z"), (None, 9, "n")]), spec, layout, "a-b", 0)
+    merge_batch(_batch(spark, spec, [(9, 0, "replay")]), spec, layout, "a-b", 0)
+    expected = [(None, "n")] * 13 + [(0, "k11"), (1, "z"), (2, "a"), (3, "a")]
     assert _kinds(spark, spec, layout) == expected
-    merge_batch(_batch(spark, spec, [(1, 5, "z"), (None, 9, "n")]), spec, layout, "q", 4)
-    assert _kinds(spark, spec, layout) == sorted(
-        [(i, "z" if i == 1 else k) for i, k in expected] + [(None, "n")],
-        key=lambda r: tuple((v is not None, v) for v in r))
+
+
+def test_appended_tables_are_read_by_folder(spark, layout, tmp_path):
+    spec = _spec(tmp_path, partition_by=("kind",))
+    for number in range(2):
+        append_batch(_batch(spark, spec, [(i, number, k) for i, k in enumerate(
+            ["a", "b", "", None, "c/d"])]), spec, layout, "q", number)
+    df = read_silver(spark, spec, layout)
+    assert df.schema == spec.table_schema
+    assert rows(df.select("kind").distinct()) == [(None,), ("",), ("a",), ("b",), ("c/d",)]
+    one = df.filter("kind = 'b'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "_by_kind" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(one.inputFiles()) == 10 and rows(one.select("id")) == [(1,), (1,)]
+    read = {r[0] for r in one.select(F.col("_metadata.file_path")).collect()}
+    assert len(read) == 2 and all("_by_kind=_b" in path for path in read)
 
 
 @pytest.mark.parametrize("keys", [("id",), ("id", "kind")])
@@ -235,7 +242,7 @@ def test_null_keys_are_added_and_spread(spark, layout, tmp_path):
     assert read_silver(spark, spec, layout).count() == 102
 
 
-def test_empty_batch_and_vacuum(spark, layout, tmp_path):
+def test_an_empty_batch_changes_nothing(spark, layout, tmp_path):
     spec = _merge_spec(tmp_path)
     for number in range(4):
         merge_batch(_batch(spark, spec, [(i, number, f"k{number}") for i in range(20)]),
@@ -243,10 +250,6 @@ def test_empty_batch_and_vacuum(spark, layout, tmp_path):
     merge_batch(_batch(spark, spec, [(1, 0, "x")]).limit(0), spec, layout, "q", 4)
     expected = [(i, "k3") for i in range(20)]
     assert _kinds(spark, spec, layout) == expected
-    silver.compact_silver(spark, spec, layout)
-    assert len(vacuum_silver(spark, spec, layout, keep=1)) == 5
-    assert vacuum_silver(spark, spec, layout, keep=1) == []
-    assert _kinds(spark, spec, layout) == expected
     merge_batch(_batch(spark, spec, [(0, 9, "z")]), spec, layout, "q", 5)
     assert _kinds(spark, spec, layout) == [(0, "z"), *expected[1:]]
 
