@@ -301,6 +301,11 @@ SELECT i.itemid, i.type, CASE WHEN i.type = '{flows.REPLACED_TYPE}' THEN upper(i
 FROM d_codeditems i LEFT JOIN drgevents e ON e.itemid = i.itemid
 WHERE i.type IN ({", ".join(f"'{t}'" for t in flows.TYPES)}) GROUP BY ALL""")
 
+_oracle("events_for_subjects", f"""
+SELECT * FROM chartevents WHERE subject_id IN (
+  SELECT subject_id FROM admissions GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {flows.OFTEN})""")
+ORACLE_SQL["top5_over_buckets"] = ORACLE_SQL["top5_diseases_by_month"]
+
 HASH = "md5(CAST({} AS VARCHAR) || '42')"
 PURCHASES = """
 SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS purchase FROM events"""

@@ -6,16 +6,17 @@ a DataFrame over what it wrote.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classifier, keep_newest, latest_per_key, upsert
+from ..operators import classifier, keep_newest, latest_per_key, top_k, upsert
 from ..operators.sampling import oversample, split_by_class, undersample
 from ..session import work_folder
-from .. import partitions
+from .. import lookups, partitions
 from ..sources import MedicalTables, decode_payload, message_log, read_csv
 from ..sources.medical import read_file
 from ..spec import ARRIVAL, MERGE, Layout, SavedQuery, StreamSpec, columns
@@ -30,6 +31,8 @@ SUBSET = ["admissions_deaths_by_year", "admission_state_mortality", "hospital_de
 ARRIVALS = 3
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # keeps microseconds in CSV
 REPLACED_TYPE, TYPES = "STANDARD", ["STANDARD", "PROMO", ""]
+OFTEN = 50  # subjects looked up at once
+BUCKETS = 16
 EVENT_COLUMNS = "event_id long!, ts timestamp, user_id long!, event_type string, value double"
 
 
@@ -393,6 +396,31 @@ def codeditems_by_type(spark: SparkSession, folder: str) -> DataFrame:
         "itemid", "type", "description", F.coalesce("num", F.lit(0)).cast("long").alias("num"))
 
 
+def events_for_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """The chart events of the subjects with most admissions, from files with Bloom filters."""
+    tables, path = MedicalTables(spark, folder), work_folder(spark, "lookup")
+    events = tables("chartevents")
+    lookups.write_lookup(events, path, ["subject_id"])
+    often = tables("admissions", "subject_id").groupBy("subject_id").agg(
+        F.count(F.lit(1)).alias("num"))
+    wanted = top_k(often, [F.desc("num"), F.asc("subject_id")], OFTEN)
+    return lookups.rows_of(spark, path, events.schema, "subject_id", wanted)
+
+
+BUCKETED = {"admissions": ["hadm_id", "admit_dt", "disch_dt"], "drgevents": ["hadm_id", "itemid"]}
+
+
+def top5_over_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """``top5_diseases_by_month`` over facts in buckets of the admission, joined without a shuffle.
+    """
+    tables, run = MedicalTables(spark, folder), uuid.uuid4().hex
+    buckets = {name: f"{name}_{run}" for name in BUCKETED}
+    for name, names in BUCKETED.items():
+        lookups.write_buckets(tables(name, *names), buckets[name], work_folder(spark, name),
+                              ["hadm_id"], BUCKETS)
+    return analyses.top5_diseases_by_month(lookups.BucketedTables(spark, tables, buckets))
+
+
 ALL = [
     upsert_batch, saved_query_gold, adhoc_sql, result_cache_roundtrip, cached_rows_by_month,
     refresh_subset, refresh_all, decode_payload_query, ingest_csv_bronze,
@@ -400,4 +428,5 @@ ALL = [
     random_undersample, resampled_training, accuracy_at_threshold, score_threshold,
     classifier_eval, model_scoring, answer_documents, silver_top5, stream_keyed_state,
     refresh_incremental, ingest_messages_bronze, codeditems_by_type,
+    events_for_subjects, top5_over_buckets,
 ]
