@@ -30,6 +30,7 @@ ALPHA = 1.2
 QUERY_BLOCK = 4096  # queries that search a shard in one group
 LOCKSTEP = 512  # searches that advance together
 SEEDS = 8  # entry points of a shard's graph
+FARTHEST = 1e100  # from the centre, in units of the scale
 
 
 def _distances(x: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -173,9 +174,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column])
 
 
-def _scaled(x: np.ndarray, scale: float) -> np.ndarray:
-    """Single precision within a safe range; only proposals are made from it."""
-    return np.ascontiguousarray(x / scale, dtype=np.float32)
+def _frame(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre and scale of a shard's points by medians, so that a common offset takes no digits and
+    a few far points leave the others as they are."""
+    centre = np.median(x, axis=0)
+    with np.errstate(over="ignore"):
+        sizes = np.abs(x - centre).max(axis=1)
+    scale = np.median(sizes)
+    if not scale > 0:
+        scale = sizes[sizes > 0].min(initial=np.inf)
+    return centre, float(scale) if np.isfinite(scale) else 1.0
+
+
+def _scaled(x: np.ndarray, frame: tuple[np.ndarray, float]) -> np.ndarray:
+    """``x`` about the centre, within a range whose squares are finite; only proposals are made
+    from it."""
+    centre, scale = frame
+    with np.errstate(over="ignore"):
+        return np.clip((x - centre) / scale, -FARTHEST, FARTHEST)
 
 
 def valid(vector: Column) -> Column:
@@ -189,7 +205,7 @@ def _built(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("vec_id", kind="stable")
     frame = frame.iloc[np.random.default_rng(7).permutation(len(frame))]
     x = _matrix(frame["vector"])
-    graph, entries = build(_scaled(x, np.abs(x).max()))
+    graph, entries = build(_scaled(x, _frame(x)))
     return frame.assign(node=np.arange(len(x)), entry=np.isin(np.arange(len(x)), entries),
                         edges=[row[row >= 0] for row in graph[:-1]])
 
@@ -236,7 +252,7 @@ def _found(k: int, beam: int):
         x = _matrix(points["vector"])
         sizes = points["ids"].map(len).to_numpy()
         ids = np.concatenate(points["ids"].to_list()), np.cumsum(sizes) - sizes, sizes
-        scale = np.abs(x).max()
+        scale = _frame(x)
         small = _scaled(x, scale)
         norms = np.einsum("nd,nd->n", small, small)
         graph = np.full((len(x) + 1, DEGREE), -1, np.int64)

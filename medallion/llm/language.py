@@ -27,13 +27,30 @@ STRENGTH = 5.0  # pages that the level above is worth
 
 _KEPT = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32
               for b in range(256))
-_HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I)
+         for name in ("script", "style", "noscript", "template")} | {None: re.compile("-->")}
+_HIDDEN = re.compile(r"<(?:(script|style|noscript|template)\b|!--)", re.I)
 _TAG = re.compile(r"<[^>]*>")
 
 
 def visible(page: str | None) -> str:
-    """The text of a page without markup, scripts and comments."""
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))) if page else ""
+    """The text of a page without markup, scripts and comments. An opening without an end hides
+    nothing. Linear in the page: an end that is missing once is not looked for again."""
+    if not page:
+        return ""
+    shown, at, begin, endless = [], 0, _HIDDEN.search(page), set()
+    while begin:
+        name, after = begin[1] and begin[1].lower(), begin.end()
+        end = None if name in endless else _ENDS[name].search(page, after)
+        if end:
+            shown += [page[at:begin.start()], " "]
+            at = after = end.end()
+        else:
+            endless.add(name)
+        begin = _HIDDEN.search(page, after)
+    text = "".join([*shown, page[at:]])
+    last = text.rfind(">") + 1  # behind it every tag is open, and each would be read to the end
+    return html.unescape(_TAG.sub(" ", text[:last]) + text[last:])
 
 
 def trigrams(text: str | None) -> np.ndarray:
