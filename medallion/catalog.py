@@ -306,6 +306,18 @@ SELECT * FROM chartevents WHERE subject_id IN (
   SELECT subject_id FROM admissions GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {flows.OFTEN})""")
 ORACLE_SQL["top5_over_buckets"] = ORACLE_SQL["top5_diseases_by_month"]
 
+CURVE = """
+SELECT score, CAST(sum(tp) OVER w AS BIGINT) AS tp, CAST(sum(fp) OVER w AS BIGINT) AS fp
+FROM (SELECT value / (value + 100) AS score, count(*) FILTER (event_type = 'purchase') AS tp,
+             count(*) FILTER (event_type <> 'purchase') AS fp
+      FROM events WHERE value IS NOT NULL GROUP BY 1)
+WINDOW w AS (ORDER BY score DESC)"""
+_oracle("precision_recall_curve", CURVE)
+_oracle("best_threshold", f"""
+SELECT score AS threshold, tp, fp,
+       (2 * tp)::DOUBLE / (tp + fp + (SELECT max(tp) FROM ({CURVE}))) AS f1
+FROM ({CURVE}) ORDER BY f1 DESC, score DESC LIMIT 1""")
+
 HASH = "md5(CAST({} AS VARCHAR) || '42')"
 PURCHASES = """
 SELECT event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS purchase FROM events"""

@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classifier, keep_newest, latest_per_key, top_k, upsert
+from ..operators import classifier, curve, keep_newest, latest_per_key, top_k, upsert
 from ..operators.sampling import oversample, split_by_class, undersample
 from ..session import work_folder
 from .. import lookups, partitions
@@ -222,6 +222,23 @@ def score_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.decide(scored, "encounter_id", "diabetes_mellitus")
 
 
+def _curve(spark: SparkSession, folder: str) -> DataFrame:
+    scored = read_file(spark, folder, "events").select(
+        (F.col("event_type") == "purchase").cast("int").alias("purchase"),
+        (F.col("value") / (F.col("value") + 100)).alias("score"))
+    return curve.precision_recall_curve(scored, "purchase")
+
+
+def precision_recall_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """True and false positives at every score that events carry."""
+    return _curve(spark, folder)
+
+
+def best_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    """The threshold with the largest F measure over all events."""
+    return curve.best_threshold(_curve(spark, folder))
+
+
 PATIENT_FILE = "encounter_id bigint, amount double, hour int, subject int, noise int, {} int"
 OUTCOME = "diabetes_mellitus"
 
@@ -429,4 +446,5 @@ ALL = [
     classifier_eval, model_scoring, answer_documents, silver_top5, stream_keyed_state,
     refresh_incremental, ingest_messages_bronze, codeditems_by_type,
     events_for_subjects, top5_over_buckets,
+    precision_recall_curve, best_threshold,
 ]
