@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten independent ones, each from table to table.
+"""Operators of a training-data pipeline: thirteen independent ones, each from table to table.
 
 Nothing else in the library imports this package. ``queries`` holds the registered queries.
 """
