@@ -1,14 +1,16 @@
-"""Graph search on offset and far-out vectors, and stripping of odd pages."""
+"""Graph search on offset and far-out vectors, stripping of odd pages, shards that are added."""
 
 import html
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from medallion.llm import ann_graph, language
+from medallion.llm import ann_graph, language, sharding
 
 
 @pytest.mark.parametrize("offset, outlier", [(0, None), (1e4, None), (1e9, None), (0, 1e30),
@@ -54,3 +56,29 @@ def test_stripping_is_linear():
     for unit in ("<", "<script>", "<!--", "<style><!--", "</script", "<p ", "<template></script "):
         language.visible(unit * (1_000_000 // len(unit)))
     assert time.process_time() - began < 7
+
+
+def test_a_shard_more_takes_rows_only_into_itself(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("key"))
+    for low in range(1, 41, 10):
+        found = rows.select(*[sharding.shard_of(rows.key, sharding.planned(n)).alias(f"n{n}")
+                              for n in range(low, low + 11)]).collect()
+        for n in range(low, low + 10):
+            before, after = [r[f"n{n}"] for r in found], [r[f"n{n + 1}"] for r in found]
+            assert all(b in (a, n) for a, b in zip(before, after))
+            sizes = Counter(after)
+            mean = len(found) / (n + 1)
+            assert sorted(sizes) == list(range(n + 1))
+            assert all(abs(size - mean) < 6 * mean**0.5 for size in sizes.values())
+
+
+def test_places_to_be_filled_keep_weights(spark):
+    tree = [sharding.Leaf(0, 0, 0, 3.0), sharding.Leaf(0, 0, 1), sharding.Leaf(0, 1, 2, 2.0),
+            sharding.Leaf(0, 1, 3, 9.0, filled=False), sharding.Leaf(1, 0, 4, 2.0)]
+    rows = spark.range(8000)
+    sizes = Counter(r[0] for r in rows.select(sharding.shard_of(rows.id, tree)).collect())
+    for leaf in tree:
+        wanted = leaf.weight * 1000 if leaf.filled else 0
+        assert abs(sizes[leaf.shard] - wanted) <= 6 * wanted**0.5
+    with pytest.raises(ValueError):
+        sharding.shard_of(rows.id, [sharding.Leaf(0, 0, 0, filled=False)])
