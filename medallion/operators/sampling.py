@@ -3,7 +3,8 @@
 Rows are ordered by a hash of their identity. "The n rows with the lowest hash" is found
 without sorting the table: a histogram over 2^16 hash buckets gives the bucket in which the
 n-th row lies, and only the rows of that bucket are ranked. The sample is then a per-row
-comparison with the hash and identity of the n-th row. Identities must be unique.
+comparison with the hash and identity of the n-th row. Identities must be unique and not NULL:
+where a repeated one would make a sample larger or a draw ambiguous, the query fails.
 """
 
 from __future__ import annotations
@@ -43,6 +44,12 @@ def _histogram(keyed: DataFrame) -> DataFrame:
     )
 
 
+def _unless_repeated(value: Column, neighbour: Column) -> Column:
+    """``value`` of a row, or an error if its neighbour in hash order has the same identity."""
+    message = F.concat(F.lit("identities must be unique; repeated: "), F.col("_id").cast("string"))
+    return F.when(neighbour == F.col("_id"), F.raise_error(message).cast("string")).otherwise(value)
+
+
 def _cut_points(keyed: DataFrame, quota: Column) -> DataFrame:
     """Per class the hash and identity of its last chosen row (no row where the quota is 0).
 
@@ -55,10 +62,13 @@ def _cut_points(keyed: DataFrame, quota: Column) -> DataFrame:
         .select("_class", "_bucket", (F.col("_quota") - F.col("_before")).alias("_place"))
     )
     in_border = keyed.join(border, ["_class", "_bucket"])
-    place = F.row_number().over(Window.partitionBy("_class").orderBy("_h", "_id"))
+    order = Window.partitionBy("_class").orderBy("_h", "_id")
     return (
-        in_border.withColumn("_n", place).filter(F.col("_n") == F.col("_place"))
-        .select("_class", F.col("_h").alias("_cut_h"), F.col("_id").alias("_cut_id"))
+        in_border.withColumn("_n", F.row_number().over(order))
+        .withColumn("_next", F.lead("_id").over(order))
+        .filter(F.col("_n") == F.col("_place"))
+        .select("_class", _unless_repeated(F.col("_h"), F.col("_next")).alias("_cut_h"),
+                F.col("_id").alias("_cut_id"))
     )
 
 
@@ -82,12 +92,16 @@ def split_by_class(df: DataFrame, identity: str, label: str, test_share: float =
     )
 
 
-def _two_classes(df: DataFrame, label: str):
+def _two_classes(df: DataFrame, identity: str, label: str):
     """(minority label, its rows, majority label, its rows); two rows reach the driver."""
-    counts = df.groupBy(label).count().orderBy("count", label).limit(3).collect()
+    counts = df.groupBy(label).agg(
+        F.count(F.lit(1)).alias("count"), F.count(identity).alias("known")
+    ).orderBy("count", label).limit(3).collect()
     if len(counts) != 2 or counts[0][label] is None or counts[1][label] is None:
         raise ValueError(f"{label} must hold exactly two classes and no NULL")
-    (minor, n_minor), (major, n_major) = counts
+    if any(r["known"] < r["count"] for r in counts):
+        raise ValueError(f"{identity} must not be NULL")
+    (minor, n_minor, _), (major, n_major, _) = counts
     return minor, n_minor, major, n_major
 
 
@@ -103,25 +117,35 @@ def _lowest(df: DataFrame, identity: str, label: str, wanted: int, seed: str) ->
 def _draws(minority: DataFrame, identity: str, label: str, n: int, extra: int,
            seed: str) -> DataFrame:
     """``extra`` draws with replacement from the ``n`` rows: draw i takes the row at place
-    hash(i) mod n in hash order. Places are counted per hash bucket, not over the whole table."""
-    keyed = minority.withColumn("_h", hash_key(F.col(identity), seed)).withColumn(
-        "_bucket", F.substring("_h", 1, BUCKET_DIGITS))
-    starts = _histogram(_keyed(minority, identity, label, seed)).select("_bucket", "_before")
-    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", identity))
+    hash(i) mod n in hash order. Identities are placed, per hash bucket, and draws are counted per
+    place; the rows themselves are shuffled only to meet their number of draws."""
+    keyed = _keyed(minority, identity, label, seed)
+    starts = _histogram(keyed).select("_bucket", "_before")
+    in_bucket = Window.partitionBy("_bucket").orderBy("_h", "_id")
     placed = (
-        keyed.withColumn("_n", in_bucket).join(starts, "_bucket")
-        .withColumn("_place", F.col("_before") + F.col("_n") - 1)
+        keyed.withColumn("_n", F.row_number().over(in_bucket))
+        .withColumn("_last", F.lag("_id").over(in_bucket))
+        .join(starts, "_bucket")
+        .select("_id", _unless_repeated(F.col("_before") + F.col("_n") - 1, F.col("_last"))
+                .cast("bigint").alias("_place"))
+    )
+    times = minority.sparkSession.range(extra).select(
+        F.pmod(hash_number(F.col("id"), seed), F.lit(n)).alias("_place")
+    ).groupBy("_place").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    drawn = placed.join(times, "_place").select("_id", "_times")
+    return (
+        minority.select(F.struct("*").alias("_row"))
+        .join(drawn, F.col("_row")[identity] == F.col("_id"))
+        .select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .select("_row.*")
     )
-    draws = minority.sparkSession.range(extra).select(
-        F.pmod(hash_number(F.col("id"), seed), F.lit(n)).alias("_place"))
-    return draws.join(placed, "_place").select(*minority.columns)
 
 
 def resample(df: DataFrame, identity: str, label: str, over: float | None = None,
              under: float | None = None, seed: str = "42") -> DataFrame:
     """Bring minority / majority first to ``over`` by drawing minority rows again, then to
     ``under`` by leaving majority rows out. The sizes of both steps follow from one count."""
-    minor, n_minor, major, n_major = _two_classes(df, label)
+    minor, n_minor, major, n_major = _two_classes(df, identity, label)
     minority = df.filter(F.col(label) == F.lit(minor))
     extra = 0 if over is None else math.floor(over * n_major) - n_minor
     if extra < 0:

@@ -200,9 +200,10 @@ def random_undersample(spark: SparkSession, folder: str) -> DataFrame:
 
 def resampled_training(spark: SparkSession, folder: str) -> DataFrame:
     """The training rows of a split, resampled: 0.4 by draws, then 0.6 by leaving rows out."""
+    train = work_folder(spark, "train")  # read several times
     parts = split_by_class(_purchases(spark, folder), "event_id", "purchase")
-    return classifier.rebalance_classes(
-        parts.filter("part = 'train'").drop("part"), "event_id", "purchase")
+    parts.filter("part = 'train'").drop("part").write.parquet(train)
+    return classifier.rebalance_classes(spark.read.parquet(train), "event_id", "purchase")
 
 
 def accuracy_at_threshold(spark: SparkSession, folder: str) -> DataFrame:

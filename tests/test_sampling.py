@@ -85,3 +85,32 @@ def test_string_identities_and_labels(spark):
 def test_no_window_runs_over_the_whole_table(spark):
     plan = undersample(_frame(spark, 1000, 100), "id", "y")._jdf.queryExecution().executedPlan()
     assert "Window" not in plan.toString() and "Exchange hashpartitioning" not in plan.toString()
+
+
+def test_repeated_and_missing_identities_are_refused(spark):
+    df = _frame(spark, 1000, 100)
+    order = sorted(range(100, 1000), key=lambda i: (_hash(i), i))
+    at_the_cut = df.union(df.filter(F.col("id") == order[165]))
+    with pytest.raises(Exception, match="identities must be unique"):
+        undersample(at_the_cut, "id", "y").collect()
+    far = undersample(df.union(df.filter(F.col("id") == order[10])), "id", "y").collect()
+    assert sum(r.y == 0 for r in far) == 166
+    with pytest.raises(Exception, match="identities must be unique"):
+        oversample(df.union(df.filter("id = 7")), "id", "y").collect()
+    with pytest.raises(ValueError, match="NULL"):
+        oversample(df.withColumn("id", F.when(F.col("id") != 3, F.col("id"))), "id", "y")
+
+
+def test_draws_carry_all_columns_and_shuffle_them_once(spark):
+    df = _frame(spark, 1000, 100).select("y", "id", F.concat(F.lit("row "), "id").alias("_times"))
+    result = oversample(df, "id", "y")
+    assert result.columns == df.columns
+    assert all(r["_times"] == f"row {r.id}" for r in result.collect())
+    assert result.count() == 900 + 360
+
+
+def test_every_query_of_the_library_is_timed():
+    import bench
+    from medallion import catalog
+
+    assert {*bench.HEADLINE, *bench.WRITING, *bench.TRAINING} == set(catalog.QUERIES)
