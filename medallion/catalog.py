@@ -215,6 +215,8 @@ _oracle("cached_rows_by_month", f"""
 SELECT itemid, description, month, num AS "numCases" FROM ({BY_MONTH})
 WHERE "ROW_NUMBER" < 21 AND month IN ({", ".join(map(str, flows.MONTHS))})""")
 
+ORACLE_SQL["variant_rows_by_month"] = ORACLE_SQL["cached_rows_by_month"]
+
 # Fields of the documents, in order; texts are marked with *.
 FIELDS = {
     "age_band_counts": "*period num",

@@ -23,7 +23,7 @@ from ..spec import ARRIVAL, MERGE, Layout, SavedQuery, StreamSpec, columns
 from ..streaming import (read_bronze, read_keyed, read_silver, run_available, start_bronze,
                          start_keyed)
 from ..streaming.control import AVAILABLE_NOW
-from . import analyses, gold, incremental, serving
+from . import analyses, documents, gold, incremental, serving
 
 FIRST_YEAR, LAST_YEAR = 1996, 2000
 MONTHS = [1, 4, 12]
@@ -93,6 +93,15 @@ def cached_rows_by_month(spark: SparkSession, folder: str) -> DataFrame:
     return serving.rows_of_months(serving.read_rows(spark, layout, key), MONTHS)
 
 
+def variant_rows_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of two analyses in one collection; those of some months as columns."""
+    layout, tables = _layout(spark, "variants"), MedicalTables(spark, folder)
+    by_month = analyses.top20_diseases_by_month(tables)
+    documents.publish(spark, layout, "mixed", [by_month, analyses.patients_by_sex(tables)])
+    found = documents.having(documents.read(spark, layout, "mixed"), "month", MONTHS)
+    return documents.as_columns(found, by_month.schema)
+
+
 def _by_year(tables) -> DataFrame:
     return analyses.admissions_deaths_by_year(tables, FIRST_YEAR, LAST_YEAR)
 
@@ -441,6 +450,7 @@ def top5_over_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 ALL = [
     upsert_batch, saved_query_gold, adhoc_sql, result_cache_roundtrip, cached_rows_by_month,
+    variant_rows_by_month,
     refresh_subset, refresh_all, decode_payload_query, ingest_csv_bronze,
     stream_append_silver, stream_merge_silver, stratified_split, random_oversample,
     random_undersample, resampled_training, accuracy_at_threshold, score_threshold,

@@ -135,6 +135,9 @@ class Layout:
     def cache(self, key: str) -> str:
         return self._path("cache", f"key={self.project}_{key}")
 
+    def documents(self, collection: str) -> str:
+        return self._path("documents", f"collection={self.project}_{collection}")
+
     def bronze_checkpoint(self, spec: StreamSpec) -> str:
         return self._path("checkpoint", "bronze", spec.bronze_folder, spec.table)
 
