@@ -241,7 +241,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, identity: str = "ve
     classes = checkpointed(
         rows.filter("fit").groupBy("label", "vector")
         .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-        .withColumn("id", F.xxhash64("label", "vector")))
+        .withColumn("id", F.monotonically_increasing_id()))  # settled by the checkpoint
     leaves, levels = _tree(classes)
     reach = F.lit(math.sqrt(2 - 2 * threshold) + 1e-6)
     root = levels[0].select("parent").distinct()
