@@ -5,10 +5,11 @@ chunk ends there, so an inserted line moves the boundaries near it and no others
 several lines are counted by hash over all documents; those that occur more than once are fetched
 and grouped by their bytes; all but the first occurrence of equal bytes are removed.
 
-With ``passages``, every two neighbouring lines that are not blank are a chunk, with the blank
-lines between them, and so is a line of more than ``LONG`` words. Chunks overlap, so a repeated
-passage of two lines or more is found line by line from its first to its last, whatever stands
-around it, and its chunks go together.
+With ``passages``, what is left at the edges of the chunks is matched line by line: every two
+neighbouring lines that are not blank, with the blank ones between them, and every line of more
+than ``long_words`` words. Later occurrences of a repeated chunk bring only the two lines at their
+end to that, as the first one stands for them. So a repeated passage of two lines or more goes from
+its first line to its last, whatever stands around it, and copies cost a row a chunk.
 
 Hashes and positions are shuffled for every chunk of several lines; whole texts twice, to fetch
 the repeated chunks and to bring the decisions to the documents. A chunk's occurrences are
@@ -25,8 +26,13 @@ from .common import checkpointed, count_words, fresh, let
 
 WINDOW = 2  # line hashes that decide a boundary
 DIVISOR = 3  # lines of a chunk, on average
+PLACE = ("id", "digest", "begin", "end")
 LEAST_LINES = 2  # of a chunk that may be removed; blank lines do not count
-LONG = 50  # among passages, a line of more words is a chunk of its own
+LONG = 50  # among passages, a line of more words is one of its own
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def _joined(lines: Column) -> Column:
@@ -49,41 +55,99 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def chunks(lines: Column, window: int, divisor: int, least_lines: int) -> Column:
-    """First and last line, from 0, of the chunks with ``least_lines`` lines that are not blank.
-    Lines are cut after each one at which the rolling hash of the last ``window`` line hashes is a
-    multiple of ``divisor``. Linear in the text."""
-    def ends(hashes: Column) -> Column:
-        def closes(line: Column) -> Column:
-            seen = [F.coalesce(F.get(hashes, line - 1 - back), F.lit(0).cast("long"))
-                    for back in range(window)]
-            return F.pmod(F.xxhash64(*seen), F.lit(divisor)) == 0
-
-        return F.filter(F.sequence(F.lit(1), F.size(hashes)),
-                        lambda line: closes(line) | (line == F.size(hashes)))
+def _ends(hashes: Column, window: int, divisor: int) -> Column:
+    """Numbers, from 1, of the lines after which the rolling hash of the last ``window`` line
+    hashes, a multiple of ``divisor``, ends a chunk."""
+    def closes(line: Column) -> Column:
+        seen = [F.coalesce(F.get(hashes, line - 1 - back), F.lit(0).cast("long"))
+                for back in range(window)]
+        return F.pmod(F.xxhash64(*seen), F.lit(divisor)) == 0
+
+    return F.filter(F.sequence(F.lit(1), F.size(hashes)),
+                    lambda line: closes(line) | (line == F.size(hashes)))
+
 
+def chunks(lines: Column, window: int, divisor: int, least_lines: int) -> Column:
+    """First and last line, from 0, and hash of the chunks with ``least_lines`` lines that are not
+    blank. Linear in the text."""
     def ranges(at: Column) -> Column:
         return F.transform(at, lambda end, i: _range(
             F.coalesce(F.get(at, i - 1), F.lit(0)), end - 1))
 
-    return F.filter(
-        let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: let(ends(hashes), ranges)),
+    several = F.filter(
+        let(F.transform(lines, lambda x: F.xxhash64(x)),
+            lambda hashes: let(_ends(hashes, window, divisor), ranges)),
         lambda r: F.size(F.filter(_within(lines, r), _filled)) >= least_lines)
-
-
-def neighbours(lines: Column, long: int = LONG) -> Column:
-    """First and last line, from 0, of every two lines that are not blank and have none but blank
-    ones between them, and of every line of more than ``long`` words."""
-    filled = F.filter(F.sequence(F.lit(0), F.size(lines) - 1),
-                      lambda i: _filled(F.get(lines, i)))
-
-    def both(at: Column) -> Column:
-        pairs = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), _range)
-        alone = F.filter(at, lambda i: count_words(F.get(lines, i)) > long)
-        return F.concat(F.filter(pairs, lambda r: r["end"].isNotNull()),
-                        F.transform(alone, lambda i: _range(i, i)))
-
-    return let(filled, both)
+    return F.transform(several, lambda r: F.struct(
+        r["begin"].alias("begin"), r["end"].alias("end"),
+        _hash(_joined(_within(lines, r))).alias("hash")))
+
+
+def chunks_of_filled(lines: Column, window: int, divisor: int, least_lines: int,
+                     long_words: int) -> Column:
+    """First and last line, from 0, of the chunks of the lines that are not blank; ``hash``, null
+    where they are fewer than ``least_lines``; ``at``, the places of these lines and of the next
+    chunk's first; ``pairs``, the hashes of each two neighbours in ``at``; ``alone``, place and
+    hash of the lines of more than ``long_words`` words. Linear in the text."""
+    def hashed(begin: Column, end: Column) -> Column:
+        return _hash(_joined(_within(lines, _range(begin, end))))
+
+    def described(at: Column, begin: Column, end: Column) -> Column:
+        own = F.slice(at, begin + 1, end - begin)
+        more = F.slice(at, begin + 1, end - begin + 1)
+        first, last = F.get(at, begin), F.get(at, end - 1)
+        return F.struct(
+            first.alias("begin"), last.alias("end"),
+            F.when(end - begin >= least_lines, hashed(first, last)).alias("hash"),
+            more.alias("at"),
+            F.zip_with(F.slice(more, F.lit(1), F.size(more) - 1),
+                       F.slice(more, F.lit(2), F.size(more)), hashed).alias("pairs"),
+            F.transform(F.filter(own, lambda i: count_words(F.get(lines, i)) > long_words),
+                        lambda i: F.struct(i.alias("at"), hashed(i, i).alias("hash"))
+                        ).alias("alone"))
+
+    def cut(at: Column) -> Column:
+        hashes = F.transform(at, lambda i: F.xxhash64(F.get(lines, i)))
+        return let(let(hashes, lambda h: _ends(h, window, divisor)), lambda ends: F.transform(
+            ends, lambda end, i: let(F.coalesce(F.get(ends, i - 1), F.lit(0)),
+                                     lambda begin: described(at, begin, end))))
+
+    filled = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _filled(F.get(lines, i)))
+    return let(filled, lambda at: F.when(F.size(at) > 0, cut(at)))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(hash, first) of the hashes that occur more than once."""
+    return rows.groupBy("hash").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("first")
+    ).filter("n > 1").drop("n")
+
+
+def _matched(index: DataFrame, passages: bool, barred: DataFrame | None) -> DataFrame:
+    """(hash, place, first, whole) of all that repeats: chunks, for which ``whole`` is true, and
+    with ``passages`` pairs and long lines outside of later chunks. Chunks with a hash in
+    ``barred`` are taken line by line."""
+    whole = index.filter("hash is not null")
+    allowed = whole if barred is None else whole.join(barred, "hash", "left_anti")
+    again = _repeated(allowed.select("hash", *PLACE))
+    if not passages:
+        return checkpointed(whole.select("hash", *PLACE).join(again, "hash")
+                            .withColumn("whole", F.lit(True)))
+    known = checkpointed(whole.join(again, "hash", "left").unionByName(
+        index.filter("hash is null"), allowMissingColumns=True))
+    later = F.col("first").isNotNull() & ~F.struct(*PLACE).eqNullSafe(F.col("first"))
+    pieces = F.concat(
+        F.transform("pairs", lambda h, i: F.struct(
+            F.get("at", i).alias("begin"), F.get("at", i + 1).alias("end"), h.alias("hash"))),
+        F.transform("alone", lambda x: F.struct(
+            x["at"].alias("begin"), x["at"].alias("end"), x["hash"].alias("hash"))))
+    edges = known.select("id", "digest", F.explode(F.filter(
+        pieces, lambda p: ~later | (p["end"] > F.col("end")))).alias("p")).select(
+            "id", "digest", "p.*")
+    found = known.filter("first is not null").select(
+        "hash", *PLACE, "first", F.lit(True).alias("whole"))
+    return checkpointed(found.unionByName(
+        edges.join(_repeated(edges), "hash").withColumn("whole", F.lit(False))))
 
 
 def _without(lines: Column, gone: Column) -> Column:
@@ -98,7 +162,8 @@ def _without(lines: Column, gone: Column) -> Column:
 
 def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
                  removed: str | None = None, window: int = WINDOW, divisor: int = DIVISOR,
-                 least_lines: int = LEAST_LINES, passages: bool = False) -> DataFrame:
+                 least_lines: int = LEAST_LINES, passages: bool = False,
+                 long_words: int = LONG) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``; other columns are kept as they are.
 
     The first occurrence, by id and then by place, stays; a null id is the first. A text that
@@ -108,31 +173,24 @@ def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
     not blank, always stay.
 
     With ``passages`` every later occurrence of a run of two or more lines that are not blank goes
-    whole, as does that of a line of more than ``LONG`` words; the other parameters of chunks have
-    no effect. Other single lines stay. A line's first occurrence always stays.
+    whole, as does that of a line of more than ``long_words`` words; ``window`` and ``divisor``
+    change the cost and not the result. Other single lines stay. A line's first occurrence always
+    stays.
     """
     ident, digest, gone = fresh(docs.columns, "_id", "_digest", "_gone")
     spare, = fresh(docs.columns, removed or "_removed")
 
     def cut(lines: Column) -> Column:
-        return neighbours(lines) if passages else chunks(lines, window, divisor, least_lines)
+        if passages:
+            return chunks_of_filled(lines, window, divisor, max(2, least_lines), long_words)
+        return chunks(lines, window, divisor, least_lines)
 
-    numbered = let(_lines(F.col(text)), lambda lines: F.transform(
-        cut(lines), lambda r: F.struct(
-            r["begin"].alias("begin"), r["end"].alias("end"),
-            F.xxhash64(_joined(_within(lines, r))).alias("hash"))))
     index = checkpointed(
         docs.filter(F.col(text).isNotNull())
         .select(F.col(identity).alias("id"), F.xxhash64(F.col(text)).alias("digest"),
-                F.explode(numbered).alias("chunk"))
+                F.explode(let(_lines(F.col(text)), cut)).alias("chunk"))
         .select("id", "digest", "chunk.*"))
-    place = F.struct("id", "digest", "begin", "end")
-    repeated = (
-        index.groupBy("hash").agg(F.count(F.lit(1)).alias("n"),
-                                  F.min(place).alias("first"))
-        .filter("n > 1").drop("n")
-    )
-    found = checkpointed(index.join(repeated, "hash"))
+    place = F.struct(*PLACE)
     whole = docs.select(F.col(identity).alias(ident), F.col(text).alias("text"),
                         F.xxhash64(F.col(text)).alias(digest))
 
@@ -148,8 +206,20 @@ def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
         return (whole.join(lists, same).select("id", "digest", F.explode(picked).alias("c"))
                 .select("id", "digest", "c.*"))
 
-    variants = fetched(found).groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n"))
-    by_hash = checkpointed(variants.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")))
+    barred = None
+    while True:
+        found = _matched(index, passages, barred)
+        variants = fetched(found).groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n"))
+        by_hash = checkpointed(variants.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")))
+        differing = by_hash.filter("texts > 1").select("hash")
+        collided = not differing.isEmpty()
+        if not (collided and passages):
+            break
+        # A chunk that only shares its hash with the first one must bring all its lines.
+        unlike = differing.join(found.filter("whole").select("hash"), "hash", "left_semi")
+        if unlike.isEmpty():
+            break
+        barred = unlike if barred is None else barred.unionByName(unlike)
     equal = by_hash.filter("texts = 1").select("hash")
 
     def later(rows: DataFrame) -> DataFrame:
@@ -162,8 +232,7 @@ def deduplicated(docs: DataFrame, identity: str = "doc_id", text: str = "text",
                 .select("id", "digest", begin.alias("begin"), "end").filter("begin <= end"))
 
     doomed = later(found.join(equal, "hash"))
-    differing = by_hash.filter("texts > 1").select("hash")
-    if not differing.isEmpty():  # chunks of one hash and several texts: compare text by text
+    if collided:  # chunks of one hash and several texts: compare text by text
         several = checkpointed(fetched(found.join(differing, "hash")))
         first = several.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
         doomed = doomed.unionByName(later(several.join(first, ["hash", "bytes"])))

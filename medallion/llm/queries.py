@@ -70,9 +70,9 @@ def op9_positive_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's text without repeated chunks of lines."""
+    """Every document's text without repeated chunks of lines, grown to whole passages."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.deduplicated(docs, removed="removed_lines")
+    return line_dedup.deduplicated(docs, removed="removed_lines", passages=True)
 
 
 def op11_suffix_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +120,8 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
            translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
            '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents),
 words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 grams AS (

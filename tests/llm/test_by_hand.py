@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as contract
+from medallion.llm import line_dedup
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
@@ -174,6 +178,41 @@ def without_passages(docs):
     return kept
 
 
+def test_repeated_passages_go(spark, docs):
+    rows = contract.queries()["op10_line_chunks"](spark, FOLDER).collect()
+    texts = dict(zip(docs.doc_id, docs.text))
+    assert {r.doc_id: r.text for r in rows} == without_passages(sorted(texts.items()))
+    lines = lambda text: text.count("\n") + 1
+    assert all(r.removed_lines == (lines(texts[r.doc_id]) - lines(r.text) if r.text else
+                                   lines(texts[r.doc_id])) or not texts[r.doc_id] for r in rows)
+    assert sum(r.removed_lines > 0 for r in rows) > 20
+
+
+@pytest.mark.parametrize("window, divisor", [(1, 1), (1, 2), (3, 4), (2, 1000)])
+def test_boundaries_do_not_change_passages(spark, shuffled, window, divisor):
+    rows, expected = shuffled
+    found = line_dedup.deduplicated(rows, passages=True, window=window, divisor=divisor).collect()
+    assert {r.doc_id: r.text for r in found} == expected
+
+
+def test_chunks_that_share_a_hash_are_told_apart(spark, shuffled, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(37)))
+    rows, expected = shuffled
+    found = line_dedup.deduplicated(rows, passages=True).collect()
+    assert {r.doc_id: r.text for r in found} == expected
+
+
+@pytest.fixture(scope="module")
+def shuffled(spark):
+    """Texts of few different lines, with blank ones, so that runs of all lengths repeat."""
+    rng = random.Random(5)
+    lines = [f"line {i}" for i in range(60)] + ["", " ", "word " * 51]
+    texts = ["\n".join(rng.choices(lines, k=rng.randint(0, 25))) for _ in range(60)]
+    texts += ["\n".join(rng.sample(t.split("\n"), 1) + t.split("\n")[2:]) for t in texts[:20]]
+    rows = list(enumerate(texts))
+    return spark.createDataFrame(rows, "doc_id long, text string"), without_passages(rows)
+
+
 def fingerprint(text):
     tokens = text.encode().lower().split()
     shingles = [b" ".join(tokens[i:i + 3]) for i in range(max(1, len(tokens) - 2))] if tokens else []

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 import __spark_entry__ as contract
+from medallion.llm import line_dedup
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
@@ -271,8 +272,10 @@ def test_repeated_chunks_go(spark, table):
                 seen.add(key)
             kept += chunk
         expected[doc_id] = ("\n".join(kept), lost)
-    found = {r.doc_id: (r.text, r.removed_lines) for r in run(spark, "op10_line_chunks").collect()}
-    assert found == expected
+    rows = line_dedup.deduplicated(
+        spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text"),
+        removed="removed_lines").collect()
+    assert {r.doc_id: (r.text, r.removed_lines) for r in rows} == expected
     assert any(lost for _, lost in expected.values())
 
 
