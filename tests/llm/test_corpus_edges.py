@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import random
+
 import pytest
 
 from medallion.llm import (ann_graph, context_mixing, cover_tree, language, line_dedup, mixing,
@@ -168,15 +170,43 @@ def test_context_mixing(docs, nothing):
     assert context_mixing.scored(nothing).count() == 0
 
 
+def test_sizes_of_the_mixing_grow_between_their_bounds():
+    within = context_mixing._power_within
+    assert [within(n, (8, 64)) for n in (0, 0.5, 8, 9, 16.5, 32, 1e9)] == [8, 8, 8, 16, 32, 32, 64]
+
+
+def test_larger_tables_and_more_symbols_score_better(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(600)]
+    texts = []
+    for i in range(150):
+        at = rng.randrange(600)
+        text = []
+        for _ in range(120):  # every word has three likely successors
+            text.append(words[at])
+            at = (at * 7 + rng.randrange(3)) % 600
+        texts.append((i, " ".join(text)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def total(**sizes):
+        return sum(r.score for r in context_mixing.scored(docs, **sizes).collect() if r.held_out)
+
+    few = total(symbols=(64, 64), slots=(1 << 16, 1 << 16))
+    assert total(symbols=(64, 1024), slots=(1 << 16, 1 << 16)) == few  # 600 words need no more
+    assert total(symbols=(1024, 1024), slots=(1 << 16, 1 << 16)) > 0.8 * few
+    assert total(symbols=(1024, 1024), slots=(1 << 20, 1 << 20)) > total(
+        symbols=(1024, 1024), slots=(1 << 16, 1 << 16))
+
+
 def test_decisions_add_up_to_one():
     import numpy as np
 
     tree = context_mixing.Tree(np.array([5.0, 1, 1, 3, 0.5, 8]))
-    empty = [np.zeros(size, np.complex64) for size in context_mixing.TABLES]
+    empty = [np.zeros(size, np.complex64) for size in (512, 1024, 1024)]
     for start in ([], [2, 2, 5]):
-        before = context_mixing.log10_probabilities([np.array(start, int)], tree, empty)[0]
+        before = context_mixing.log10_probabilities([np.array(start, int)], tree, empty, 2)[0]
         after = context_mixing.log10_probabilities(
-            [np.array([*start, s]) for s in range(6)], tree, empty)
+            [np.array([*start, s]) for s in range(6)], tree, empty, 2)
         assert sum(10 ** (after - before)) == pytest.approx(1, abs=1e-4)
 
 
