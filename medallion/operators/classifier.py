@@ -21,6 +21,7 @@ ROUNDS = 15
 THRESHOLD = 0.28
 OVER, UNDER = 0.4, 0.6
 # End of the fixed values.
+LARGE_PART = 50_000  # training rows of a partition above which an uneven share counts
 
 
 def feature_columns(columns: Sequence[str], identity: str, label: str | None = None) -> list[str]:
@@ -50,9 +51,16 @@ def train(rows: DataFrame, label: str, hidden: int = HIDDEN, rounds: int = ROUND
           seed: int = 42) -> PipelineModel:
     """Fit scaler and network on ``features`` and a 0/1 ``label``.
 
-    Gradients are summed over the partitions in a tree; the driver holds the weights only.
+    Gradients are summed over the partitions in a tree; the driver holds the weights only. A round
+    costs the same for every row, but the partitions of drawn copies and of files have been cut by
+    bytes; where one of them would hold up the others, rows are dealt evenly.
     """
-    rows = rows.select("features", F.col(label).cast("double").alias("_label")).persist()
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    rows = given = rows.select("features", F.col(label).cast("double").alias("_label")).persist()
+    largest, total = rows.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.count(F.lit(1)).alias("rows")).agg(F.max("rows"), F.sum("rows")).first()
+    if (largest or 0) > max(LARGE_PART, (total or 0) / tasks):
+        rows = given.repartition(tasks).persist()
     width = rows.select("features").head()[0].size
     scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True)
     network = MultilayerPerceptronClassifier(
@@ -62,6 +70,7 @@ def train(rows: DataFrame, label: str, hidden: int = HIDDEN, rounds: int = ROUND
         return Pipeline(stages=[scaler, network]).fit(rows)
     finally:
         rows.unpersist()
+        given.unpersist()
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

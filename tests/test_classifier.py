@@ -46,6 +46,26 @@ def test_train_save_load_score(spark, labelled, tmp_path):
     assert decided.columns == ["encounter_id", "diabetes_mellitus"] and decided.count() == 160
 
 
+def test_training_rows_are_dealt_evenly(spark, labelled, monkeypatch):
+    sizes = []
+
+    class Recorded:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            sizes.extend(rows.rdd.glom().map(len).collect())
+
+    monkeypatch.setattr(classifier, "Pipeline", Recorded)
+    monkeypatch.setattr(classifier, "LARGE_PART", 100)
+    table = classifier.with_features(labelled, ["f3", "f4"], ["diabetes_mellitus"])
+    few = table.filter("diabetes_mellitus = 1").coalesce(1)
+    classifier.train(table.filter("diabetes_mellitus = 0").coalesce(1).union(few),
+                     "diabetes_mellitus")
+    assert sum(sizes) == 800 and len(sizes) >= spark.sparkContext.defaultParallelism
+    assert max(sizes) - min(sizes) <= 2
+
+
 def test_threshold_is_inclusive(spark):
     df = spark.createDataFrame([(1, 0.28), (2, 0.2799), (3, 1.0), (4, None)], "id int, score double")
     assert rows(classifier.decide(df, "id", "y")) == [(1, 1), (2, 0), (3, 1), (4, 0)]
