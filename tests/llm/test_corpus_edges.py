@@ -1,7 +1,11 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import pickle
 import random
+import types
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from medallion.llm import (ann_graph, context_mixing, cover_tree, language, line_dedup, mixing,
@@ -196,6 +200,52 @@ def test_larger_tables_and_more_contexts_score_better(spark):
     assert total(frequent=(512, 512), slots=(1 << 20, 1 << 20)) > few
 
 
+def test_words_of_odd_texts():
+    texts = ["", None, " \t\n", "One\u00a0word", "\x0b a\x0cB\r\nc  ", "\u00c9t\u00e9 \x1c z", "q"]
+    words, sizes = context_mixing.words_of(pa.array(texts, pa.string()).cast(pa.binary()))
+    wanted = [(t or "").encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for found in wanted for w in found]
+    assert sizes.tolist() == [len(found) for found in wanted]
+    assert context_mixing.classes_of(words).tolist() == [
+        context_mixing.class_of(w) for w in words.to_pylist()]
+    one = [context_mixing.contexts(np.array(x), 4) for x in ([1, 7, 2], [9], [3, 3, 0, 8, 1])]
+    joined = context_mixing.contexts(np.array([1, 7, 2, 9, 3, 3, 0, 8, 1]), 4, np.array([0, 3, 4]))
+    assert [h.tolist() for h in joined] == [np.concatenate(h).tolist() for h in zip(*one)]
+
+
+def test_repeated_contexts_go_down_the_tree_once(spark, monkeypatch):
+    went = []
+    whole = context_mixing.Tree.descend
+
+    class Local:  # runs a task here
+        def filter(self, *_):
+            return self
+
+        select = filter
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def counted(tree, symbols):
+        went.append(len(symbols))
+        return whole(tree, symbols)
+
+    monkeypatch.setattr(context_mixing.Tree, "descend", counted)
+    monkeypatch.setattr(context_mixing, "summed", lambda parts, dtype: parts)
+    held = context_mixing.Vocabulary(
+        [b"a", b"b", b"c", b""], np.array([30_000] * 3 + [100]), 90_100, 4, np.zeros(64),
+        np.zeros(64), 4, 1 << 16)
+    run = context_mixing.decision_counts(
+        Local(), types.SimpleNamespace(value=pickle.dumps(held)))
+    texts = pa.array([b"a b c " * 300] * 100)
+    out = run(iter([pa.record_batch([texts], names=["text"])]))
+    total = sum(int(context_mixing.unpacked(blob, "i8").sum())
+                for batch in out for blob in batch.column(1).to_pylist())
+    assert total == 3 * sum(n * held.tree.length[s] for s, n in (
+        (0, 30_000), (1, 30_000), (2, 30_000), (held.end, 100)))
+    assert sum(went) < 100  # 270,300 before
+
+
 def test_decisions_add_up_to_one():
     import numpy as np
 
