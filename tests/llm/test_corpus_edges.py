@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import math
 import pickle
 import random
 import types
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +202,115 @@ def test_larger_tables_and_more_contexts_score_better(spark):
     assert total(frequent=(512, 512), slots=(1 << 20, 1 << 20)) > few
 
 
+def _chain(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(400):
+        at = rng.randrange(5000)  # more words than symbols
+        text = []
+        for _ in range(120):  # every word has three likely successors
+            text.append(f"w{at}")
+            at = (at * 7 + rng.randrange(3)) % 5000
+        texts.append((i, " ".join(text)))
+    return spark.createDataFrame([*texts, (400, None), (401, texts[0][1]), (None, " \n")],
+                                 "doc_id long, text string").repartition(3)
+
+
+def _beyond(docs, monkeypatch, part_bytes, keys_at_once):
+    """Scores where the corpus has more training tokens than a task holds slots."""
+    monkeypatch.setattr(context_mixing, "BYTES_AT_ONCE", part_bytes)
+    monkeypatch.setattr(context_mixing, "KEYS_AT_ONCE", keys_at_once)
+    return context_mixing.scored(docs, frequent=(16, 64), slots=(1 << 15, 1 << 15)).collect()
+
+
+def test_contexts_beyond_the_slots_have_counts_of_their_own(spark, monkeypatch):
+    made, real = [], context_mixing.Vocabulary
+    monkeypatch.setattr(
+        context_mixing, "Vocabulary", lambda *a: made.append(real(*a)) or made[-1])
+    docs = _chain(spark)
+    found = _beyond(docs, monkeypatch, 1 << 16, 1 << 15)
+    assert len(found) == 403
+    words, tree = made[0], made[0].tree
+    rank = {w: i for i, w in enumerate(words.words)}
+    assert len(rank) > context_mixing.SHORT + 100 and words.frequent == 16
+
+    def symbol_of(word):
+        if rank.get(word, 9999) < words.short:
+            return rank[word]
+        return words.short + context_mixing.class_of(word)
+
+    def coded(text):
+        """(symbol, its contexts) of each token."""
+        out, before, frequent = [], None, [None, None]
+        for w in [*text.encode().split(), None]:
+            symbol = words.end if w is None else symbol_of(w)
+            out.append((symbol, [(0, frequent[-1]), (1, *frequent[-2:]), (2, before)]))
+            before = w
+            if w is not None and rank.get(w, 9999) < words.frequent:
+                frequent.append(w)
+        return out
+
+    def way(symbol):
+        return [(tree.node[i, symbol], tree.bit[i, symbol]) for i in range(tree.length[symbol])]
+
+    plain = {r.doc_id: r.text or "" for r in docs.collect()}
+    texts = {i: coded(text) for i, text in plain.items()}
+    held_out = {r.doc_id: r.held_out for r in found}
+    counts = Counter((context, node, bit) for i, text in texts.items() if not held_out[i]
+                     for symbol, near in text for node, bit in way(symbol) for context in near)
+    for r in found:
+        moves, begins = [], []
+        for table in range(3):
+            begins.append([])
+            for symbol, near in texts[r.doc_id]:
+                begins[-1].append(len(moves))
+                for node, _ in way(symbol):
+                    zeros, ones = (counts[near[table], node, bit] for bit in (0, 1))
+                    seen = zeros + ones
+                    moves.append(seen / (seen + context_mixing.PRIOR) * (
+                        math.log((ones + 0.4) / (zeros + 0.4)) - tree.odds[node]))
+        symbols = np.array([symbol for symbol, _ in texts[r.doc_id]])
+        mixed = context_mixing.log10_probabilities(
+            [symbols], tree, [], 0, (np.array(moves, np.float32), np.array(begins)))[0]
+        shares = sum(
+            (words.log_counts[rank[w]] if w in rank else math.log10(0.5))
+            - words.log_mass[symbol_of(w) - words.short]
+            for w in plain[r.doc_id].encode().split() if symbol_of(w) >= words.short)
+        assert r.score == pytest.approx(mixed + shares, rel=1e-4)
+
+
+def test_joined_contexts_do_not_depend_on_parts(spark, monkeypatch):
+    docs = _chain(spark)
+    one = {r.doc_id: r.score for r in _beyond(docs, monkeypatch, 1 << 16, 1 << 15)}
+    other = _beyond(docs.repartition(1), monkeypatch, 1 << 22, 1 << 23)
+    assert len(other) == 403
+    assert all(r.score == pytest.approx(one[r.doc_id], rel=1e-5) for r in other)
+
+
+def test_counts_on_the_ways_of_keys():
+    rng = np.random.default_rng(5)
+    tree = context_mixing.Tree(np.array([5.0, 1, 1, 3, 0.5, 8]))
+    pairs = [(int(c), int(s)) for c, s in rng.integers(0, [4, 6], (200, 2))]
+    held = [(9, 2), (3, 0)]  # asked for only
+    bits = context_mixing.LEAF_BITS
+    found = np.array(sorted({(c << bits) | int(tree.leaf[s]) for c, s in pairs + held}), np.uint64)
+    symbols = tree.by_leaf[(found & np.uint64((1 << bits) - 1)).astype(int)]
+    wanted = [(int(k) >> bits, int(s)) for k, s in zip(found, symbols)]
+    whole, away = context_mixing.ways_counted(
+        found, np.array([pairs.count(w) for w in wanted]), tree)
+
+    def way(symbol):
+        return [(int(tree.node[i, symbol]), int(tree.bit[i, symbol]))
+                for i in range(tree.length[symbol])]
+
+    plain = []
+    for c, s in wanted:
+        for node, bit in way(s):
+            plain.append(sum((node, 1 - bit) in way(other) for at, other in pairs if at == c))
+    assert whole.tolist() == [sum(at == c for at, _ in pairs) for c, _ in wanted]
+    assert away.tolist() == plain
+
+
 def test_words_of_odd_texts():
     texts = ["", None, " \t\n", "One\u00a0word", "\x0b a\x0cB\r\nc  ", "\u00c9t\u00e9 \x1c z", "q"]
     words, sizes = context_mixing.words_of(pa.array(texts, pa.string()).cast(pa.binary()))
