@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from medallion.llm import (ann_graph, context_mixing, cover_tree, language, line_dedup, mixing,
-                           packing, quality, sharding, simhash)
+from medallion.llm import (ann_graph, blobs, context_mixing, cover_tree, language, line_dedup,
+                           mixing, packing, quality, sharding, simhash)
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "_id string, size string, fp string, row string, key string")
@@ -216,9 +216,9 @@ def _chain(spark):
                                  "doc_id long, text string").repartition(3)
 
 
-def _beyond(docs, monkeypatch, part_bytes, keys_at_once):
+def _beyond(docs, monkeypatch, part_tokens, keys_at_once):
     """Scores where the corpus has more training tokens than a task holds slots."""
-    monkeypatch.setattr(context_mixing, "BYTES_AT_ONCE", part_bytes)
+    monkeypatch.setattr(context_mixing, "PART_TOKENS", part_tokens)
     monkeypatch.setattr(context_mixing, "KEYS_AT_ONCE", keys_at_once)
     return context_mixing.scored(docs, frequent=(16, 64), slots=(1 << 15, 1 << 15)).collect()
 
@@ -227,8 +227,9 @@ def test_contexts_beyond_the_slots_have_counts_of_their_own(spark, monkeypatch):
     made, real = [], context_mixing.Vocabulary
     monkeypatch.setattr(
         context_mixing, "Vocabulary", lambda *a: made.append(real(*a)) or made[-1])
+    monkeypatch.setattr(context_mixing, "BYTES_AT_ONCE", 1 << 15)
     docs = _chain(spark)
-    found = _beyond(docs, monkeypatch, 1 << 16, 1 << 15)
+    found = _beyond(docs, monkeypatch, 10_000, 1 << 15)
     assert len(found) == 403
     words, tree = made[0], made[0].tree
     rank = {w: i for i, w in enumerate(words.words)}
@@ -281,8 +282,8 @@ def test_contexts_beyond_the_slots_have_counts_of_their_own(spark, monkeypatch):
 
 def test_joined_contexts_do_not_depend_on_parts(spark, monkeypatch):
     docs = _chain(spark)
-    one = {r.doc_id: r.score for r in _beyond(docs, monkeypatch, 1 << 16, 1 << 15)}
-    other = _beyond(docs.repartition(1), monkeypatch, 1 << 22, 1 << 23)
+    one = {r.doc_id: r.score for r in _beyond(docs, monkeypatch, 10_000, 1 << 15)}
+    other = _beyond(docs.repartition(1), monkeypatch, 1 << 20, 1 << 23)
     assert len(other) == 403
     assert all(r.score == pytest.approx(one[r.doc_id], rel=1e-5) for r in other)
 
@@ -296,19 +297,24 @@ def test_counts_on_the_ways_of_keys():
     found = np.array(sorted({(c << bits) | int(tree.leaf[s]) for c, s in pairs + held}), np.uint64)
     symbols = tree.by_leaf[(found & np.uint64((1 << bits) - 1)).astype(int)]
     wanted = [(int(k) >> bits, int(s)) for k, s in zip(found, symbols)]
-    whole, away = context_mixing.ways_counted(
+    whole, zeros = context_mixing.ways_counted(
         found, np.array([pairs.count(w) for w in wanted]), tree)
 
     def way(symbol):
         return [(int(tree.node[i, symbol]), int(tree.bit[i, symbol]))
                 for i in range(tree.length[symbol])]
 
-    plain = []
-    for c, s in wanted:
-        for node, bit in way(s):
-            plain.append(sum((node, 1 - bit) in way(other) for at, other in pairs if at == c))
+    plain = [sum((node, 0) in way(other) for at, other in pairs if at == c)
+             for c, s in wanted for node, _ in way(s)]
     assert whole.tolist() == [sum(at == c for at, _ in pairs) for c, _ in wanted]
-    assert away.tolist() == plain
+    assert zeros.tolist() == plain
+
+
+def test_packed_numbers():
+    for values in ([], [0], [3, 254, 255, 256, 0, 1 << 40]):
+        values = np.array(values, np.int64)
+        assert blobs.unpacked_counts(blobs.packed_counts(values)).tolist() == values.tolist()
+        assert blobs.unpacked_planes(blobs.packed_planes(values)).tolist() == values.tolist()
 
 
 def test_words_of_odd_texts():
