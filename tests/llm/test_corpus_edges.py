@@ -1,17 +1,21 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import glob
 import math
 import pickle
 import random
+import tempfile
+import time
 import types
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from medallion.llm import (ann_graph, blobs, context_mixing, cover_tree, language, line_dedup,
-                           mixing, packing, quality, sharding, simhash)
+from medallion.llm import (ann_graph, blobs, common, context_mixing, cover_tree, language,
+                           line_dedup, mixing, packing, quality, sharding, simhash)
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           "_id string, size string, fp string, row string, key string")
@@ -310,6 +314,90 @@ def test_counts_on_the_ways_of_keys():
     assert zeros.tolist() == plain
 
 
+def test_answers_leave_out_what_follows_from_the_keys():
+    rng = np.random.default_rng(6)
+    tree = context_mixing.Tree(np.array([5.0, 1, 1, 3, 0.5, 8, 2]))
+    bits = context_mixing.LEAF_BITS
+    counts = Counter((int(c), int(s)) for c, s in rng.integers(0, [5, 7], (60, 2)))
+    counts.update({(7, 1): 4, (8, 2): 3, (8, 4): 2, (9, 3): 0, (2, 3): 0})
+
+    def key(pair):
+        return (pair[0] << bits) | int(tree.leaf[pair[1]])
+
+    def told(pairs):
+        """Others' counts that the part with ``pairs`` is told; its moves are those counted."""
+        known = np.array([np.searchsorted(found, key(p)) for p in pairs])
+        times = every.take(known)
+        rest, others = context_mixing.answer(
+            found.take(known), whole.take(known), times,
+            lambda level, at, _: zeros.take(begins.take(known.take(at)) + level), tree)
+        moves = context_mixing.moves_of(found.take(known), times, rest, others, tree).tolist()
+        for context, symbol in pairs:
+            for level in range(tree.length[symbol]):
+                node = tree.node[level, symbol]
+                off, on = (sum(n for (c, s), n in counts.items() if c == context and any(
+                    tree.node[i, s] == node and tree.bit[i, s] == bit
+                    for i in range(tree.length[s]))) for bit in (0, 1))
+                assert moves.pop(0) == pytest.approx(
+                    (off + on) / (off + on + context_mixing.PRIOR)
+                    * (math.log((on + 0.4) / (off + 0.4)) - tree.odds[node]), rel=1e-5, abs=1e-6)
+        assert not moves
+        return rest.tolist(), others.tolist()
+
+    every = sorted(counts, key=key)
+    found = np.array([key(p) for p in every], np.uint64)
+    pairs, every = every, np.array([counts[p] for p in every])
+    whole, zeros = context_mixing.ways_counted(found, every, tree)
+    begins = context_mixing._begins(context_mixing._leaves(found, tree), tree)
+    assert set(told(pairs)[0]) == {0}
+    told(pairs[::2])
+    told(pairs[1::3])
+    assert told([(7, 1)]) == ([0], [])  # no other symbol, so no way is told; before, all of it
+    assert told([(9, 3)]) == ([0], [])
+    assert told([(8, 2)])[0] == [2]
+
+
+def test_parts_ask_in_turns():
+    words = context_mixing.Vocabulary(
+        [b"a", b"b", b"c", b""], np.array([9, 8, 7, 6]), 30, 4, np.zeros(64), np.zeros(64), 4, 64)
+    rng = np.random.default_rng(7)
+    codes, sizes = rng.integers(0, 3, 90), np.array([40, 0, 50])
+    codes[::9] = context_mixing._codes_of([b"x", b"y"], context_mixing.classes_of(
+        pa.array([b"x", b"y"], pa.binary()))).take(rng.integers(0, 2, 10))
+    assert context_mixing._read(*context_mixing._noted(codes)).tolist() == codes.tolist()
+    held_out = np.array([0, 0, 1])
+    whole = context_mixing.Part(codes, sizes, words, 8)
+    counts = dict(zip(whole.keys.tolist(), whole.counts(held_out).tolist()))
+    assert sum(counts.values()) == 3 * 42 and 0 in counts.values()
+    found = {}
+    for turn in range(2):
+        part = context_mixing.Part(codes, sizes, words, 8, turn, 2)
+        for bucket in range(8):
+            here = slice(part.edges[bucket], part.edges[bucket + 1])
+            wanted = whole.keys[whole.edges[bucket]:whole.edges[bucket + 1]]
+            assert part.keys[here].tolist() == (wanted.tolist() if bucket % 2 == turn else [])
+        found.update(zip(part.keys.tolist(), part.counts(held_out).tolist()))
+    assert found == counts
+
+
+def test_computed_rows_leave_no_shuffle_files(spark):
+    folder = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+
+    def files():
+        return set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*.data"))
+
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, "false")
+    found = common.computed(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert spark.conf.get(key) == setting
+    assert sum(r["count"] for r in found.collect()) == 1000
+
+
 def test_packed_numbers():
     for values in ([], [0], [3, 254, 255, 256, 0, 1 << 40]):
         values = np.array(values, np.int64)
